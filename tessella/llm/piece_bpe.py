@@ -184,18 +184,18 @@ class PieceBpe:
         got = self.kept.get(segment)
         if got is None:
             ids = self._prefixes(segment)
-            got = pack(f"<{len(ids)}I", *ids)
-            if len(segment) <= KEPT_CHARS:
-                if len(self.kept) >= KEPT_SEGMENTS:
-                    self.kept.clear()
-                self.kept[segment] = got
+            got = self._keep(segment, pack(f"<{len(ids)}I", *ids))
         return got
 
     def _segment(self, segment: str) -> bytes:
-        got = self._cut(segment)
+        return self._keep(segment, self._cut(segment))
+
+    def _keep(self, segment: str, ids: bytes) -> bytes:
         if len(segment) <= KEPT_CHARS:
-            self.kept[segment] = got
-        return got
+            if len(self.kept) >= KEPT_SEGMENTS:
+                self.kept.clear()
+            self.kept[segment] = ids
+        return ids
 
     def _cut(self, segment: str) -> bytes:
         """A segment with characters outside the alphabet cut out as byte pieces."""
