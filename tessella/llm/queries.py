@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import packing, piece_bpe, token_counts
+from tessella.llm import audio, packing, piece_bpe, token_counts
 from tessella.llm.common import documents
 
 
@@ -16,9 +16,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.featurize(documents(spark, sf_dir), outputs=("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_packing": op3_packing, "op7_token_counts": op7_token_counts}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_packing": op3_packing, "op6_audio_features": op6_audio_features, "op7_token_counts": op7_token_counts}
 ORACLE_SQL: dict[str, str] = {}
