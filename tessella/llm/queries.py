@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import audio, packing, piece_bpe, token_counts
+from tessella.llm import audio, packing, piece_bpe, token_counts, toxicity
 from tessella.llm.common import documents
 
 
@@ -24,5 +24,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_packing": op3_packing, "op6_audio_features": op6_audio_features, "op7_token_counts": op7_token_counts}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_packing": op3_packing, "op6_audio_features": op6_audio_features, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity}
 ORACLE_SQL: dict[str, str] = {}
