@@ -43,7 +43,7 @@ FOLDS = 5
 MAX_POSITIVES, MAX_UNLABELLED = 4_000, 12_000
 BUCKETS = 1 << 20
 MAX_FEATURES, MIN_HITS, MIN_Z, SURE, MIN_LIFT = 8_192, 4, 8.0, 1.64, 0.35
-STEPS, RATE, L2, BETA = 400, 0.05, 1e-5, 0.02
+STEPS, RATE, L2, BETA = 1000, 0.05, 1e-5, 0.02
 WORD = re.compile(r"\w+")
 
 
