@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import audio, packing, piece_bpe, token_counts, topk, toxicity
+from tessella.llm import audio, packing, pii, piece_bpe, token_counts, topk, toxicity
 from tessella.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode(documents(spark, sf_dir), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(documents(spark, sf_dir), outputs=("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
@@ -33,7 +37,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_packing": op3_packing, "op6_audio_features": op6_audio_features, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op10_topk": op10_topk}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_personal_data": op2_personal_data, "op3_packing": op3_packing, "op6_audio_features": op6_audio_features, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op10_topk": op10_topk}
 ORACLE_SQL: dict[str, str] = {
     "op10_topk": """
         WITH v AS (
