@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import audio, packing, pii, piece_bpe, token_counts, topk, toxicity
+from tessella.llm import audio, packing, pii, piece_bpe, secrets, token_counts, topk, toxicity
 from tessella.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(documents(spark, sf_dir)))
+
+
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.featurize(documents(spark, sf_dir), outputs=("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
 
@@ -37,7 +41,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_personal_data": op2_personal_data, "op3_packing": op3_packing, "op6_audio_features": op6_audio_features, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op10_topk": op10_topk}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_personal_data": op2_personal_data, "op3_packing": op3_packing, "op5_secrets": op5_secrets, "op6_audio_features": op6_audio_features, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op10_topk": op10_topk}
 ORACLE_SQL: dict[str, str] = {
     "op10_topk": """
         WITH v AS (
