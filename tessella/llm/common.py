@@ -75,3 +75,18 @@ def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+#: Keys with more rows than this (and more than 2 / HOT_KEYS of all rows) are joined by broadcast.
+HOT_ROWS, HOT_KEYS = 2_000, 100_000
+
+
+def join_counted(rows: DataFrame, on: str, table: DataFrame, n_rows: int) -> DataFrame:
+    """rows joined (inner) with a table of unique keys. table: `on`, n (the rows of each key) and
+    more. A key with very many rows is joined by a broadcast of its one table row, so they stay
+    dealt as they are; as such keys have over 2 * n_rows / HOT_KEYS rows each, at most HOT_KEYS / 2
+    are broadcast. n is dropped."""
+    bar = max(HOT_ROWS, 2 * n_rows // HOT_KEYS)
+    hot = F.broadcast(table.where(F.col("n") > bar).drop("n"))
+    rest = table.where(F.col("n") <= bar).drop("n")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(rest, on))

@@ -1,8 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round is a few joins and aggregates over the edges and is written to the shared folder; no
-neighbour list is ever collected. Nodes with very many edges are joined by a broadcast of their
-minima, whose number is bounded by HOT_NODES.
+neighbour list is ever collected, and nodes with very many edges are not dealt to one task.
 """
 
 from __future__ import annotations
@@ -10,28 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import drop_table, materialize
+from tessella.llm.common import drop_table, join_counted, materialize
 
-#: At most this many nodes count as hot; each has over 2 * edges / HOT_NODES edges (HOT_EDGES at least).
-HOT_NODES, HOT_EDGES = 100_000, 2_000
 MAX_ROUNDS = 60
 
 
-def _with_minimum(edges: DataFrame, on: str, least: DataFrame, n: int) -> DataFrame:
-    """edges with m, the minimum of their node `on`. least: (node, m, n)."""
-    bar = max(HOT_EDGES, 2 * n // HOT_NODES)
-    hot = F.broadcast(least.where(F.col("n") > bar).select(F.col("node").alias(on), "m"))
-    rest = least.where(F.col("n") <= bar).select(F.col("node").alias(on), "m")
-    return edges.join(hot, on).unionByName(edges.join(hot.select(on), on, "left_anti").join(rest, on))
-
-
 def _round(edges: DataFrame, n: int) -> DataFrame:
     """edges: (hi, lo), hi > lo, distinct."""
     both = edges.select(F.col("lo").alias("node"), F.col("hi").alias("other")).unionAll(edges.select(F.col("hi").alias("node"), F.col("lo").alias("other")))
-    least = both.groupBy("node").agg(F.min("other").alias("other"), F.count("*").alias("n")).select("node", F.least("node", "other").alias("m"), "n")
-    large = _with_minimum(edges, "lo", least, n).select("hi", F.col("m").alias("lo")).distinct()
-    below = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")).select(F.col("hi").alias("node"), "m", "n")
-    small = _with_minimum(large, "hi", below, n)
+    least = both.groupBy("node").agg(F.min("other").alias("other"), F.count("*").alias("n")).select(F.col("node").alias("lo"), F.least("node", "other").alias("m"), "n")
+    large = join_counted(edges, "lo", least, n).select("hi", F.col("m").alias("lo")).distinct()
+    below = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+    small = join_counted(large, "hi", below, n)
     out = small.select("hi", F.col("m").alias("lo")).unionAll(small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
     return out.distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import audio, line_dedup, packing, pii, piece_bpe, secrets, token_counts, topk, toxicity
+from tessella.llm import audio, jaccard_join, line_dedup, packing, pii, piece_bpe, secrets, token_counts, topk, toxicity
 from tessella.llm.common import documents
 
 
@@ -42,11 +42,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_personal_data": op2_personal_data, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_secrets": op5_secrets, "op6_audio_features": op6_audio_features, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op10_topk": op10_topk}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_personal_data": op2_personal_data, "op3_packing": op3_packing, "op4_line_dedup": op4_line_dedup, "op5_secrets": op5_secrets, "op6_audio_features": op6_audio_features, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_topk": op10_topk}
 ORACLE_SQL: dict[str, str] = {
     "op10_topk": """
         WITH v AS (
