@@ -40,12 +40,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of an execution within go at its end, not when the driver happens to collect
+    its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and the
-    rows outlive any executor."""
+    rows outlive any executor. The shuffle files that the write needed go when it ends."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out

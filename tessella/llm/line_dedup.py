@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import arrow_pass, materialize
@@ -126,9 +126,10 @@ def _checked(pairs: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
 
 def classes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, label) of each key in a component of two or more. lines: key, norm."""
-    bands = arrow_pass(lines.select("key", "norm"), _banded, "band long, key long", rows=2048).repartition("band")
-    pivots = bands.groupBy("band").agg(F.min("key").alias("pivot"), F.max("key").alias("most")).where("pivot < most").select("band", "pivot")
-    rows = materialize(bands.join(pivots.hint("shuffle_hash"), "band").where("key <> pivot").distinct(), "buckets")
+    bands = arrow_pass(lines.select("key", "norm"), _banded, "band long, key long", rows=2048)
+    # A running minimum: rows stream by in order of their keys, and one shuffle serves both columns.
+    pivot = F.min("key").over(Window.partitionBy("band").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = materialize(bands.withColumn("pivot", pivot).where("key <> pivot").distinct(), "buckets")
     wanted = rows.select("key").unionAll(rows.select(F.col("pivot").alias("key"))).distinct()
     text = materialize(lines.select("key", "norm").join(wanted.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]), "lines")
     ok = _checked(rows.select("key", "pivot").distinct(), text, threshold).where("ok")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.byte_bpe import byte_bpe, tokenizer_digest
-from tessella.llm.common import arrow_pass, fresh_path, texts
+from tessella.llm.common import arrow_pass, fresh_path, shuffles_freed, texts
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_bytes long, n_tokens long"
 
@@ -60,6 +60,7 @@ def token_counts(docs: DataFrame, cache_path: str | None = None, limit: int = 51
     own = keyed.withColumn("picked", F.coalesce("doc_id", F.lit(-(2**63))))
     misses = own.join(picked.hint("shuffle_hash"), ["content_digest", "picked"], "left_semi").select("content_digest", "n_bytes", "text")
     counted = arrow_pass(misses, _encode_misses, "content_digest binary, n_bytes long, n_tokens long")
-    counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_bytes", "n_tokens").write.mode("append").parquet(path)
+    with shuffles_freed(spark):
+        counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_bytes", "n_tokens").write.mode("append").parquet(path)
     known = read_cache(spark, path, version)
     return keyed.select("doc_id", "content_digest", "n_bytes").join(known, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
