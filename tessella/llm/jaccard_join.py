@@ -36,7 +36,7 @@ from tessella.llm.common import arrow_pass, drop_table, join_counted, materializ
 from tessella.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-TOKENS, RUNS, LEVELS, BUCKET, BLOCK, MARGIN = 128, 10, 6, 48, 256, 4.0
+TOKENS, RUNS, LEVELS, BUCKET, BLOCK, MARGIN = 128, 10, 4, 48, 256, 4.0
 WORD = re.compile(r"\w+")
 _A = np.random.default_rng(21).integers(1, 1 << 32, TOKENS, dtype=np.uint32) | 1
 _B = np.random.default_rng(22).integers(0, 1 << 32, TOKENS, dtype=np.uint32)
@@ -219,14 +219,14 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BUCKET))
             small = small.unionAll(rows.where(F.col("size") > BUCKET).select(F.xxhash64("path", part).alias("path"), "node"))
         met = small.join(few, "node").repartition("path").sortWithinPartitions("path")
-        found.append(materialize(met.mapInArrow(_brute, "a long, b long").distinct(), "links"))
+        found.append(materialize(met.mapInArrow(_brute, "a long, b long"), "links"))
         large = rows.where(F.col("size") > BUCKET).select("path", "node", "pivot")
         if large.isEmpty():
             break
         own = nodes.select("node", "sketch")
         compared = large.join(own, "node").join(own.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
         after = materialize(arrow_pass(compared, _large, "node long, pivot long, near boolean, paths array<long>", rows=1024), "large")
-        found.append(after.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+        found.append(after.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         state = after.select("node", F.explode("paths").alias("path"))
         drop_table(rows)
     out = found[0]

@@ -19,7 +19,10 @@ def brute_components(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
-def test_components_equal_brute_force(spark):
+def test_components_equal_brute_force(spark, monkeypatch):
+    from tessella.llm import components as module
+
+    monkeypatch.setattr(module, "CHUNK", 40)
     r = random.Random(1)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2001 + k) for k in range(50)] + [(7, 7), (None, 3)]
     got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
