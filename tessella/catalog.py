@@ -2,5 +2,392 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import geometry as geo
+from tessella.functions import scalars as sc
+from tessella.operators import augment, balance, dataset, features, imageops, spatial, stats, tiling
+from tessella.plans import adapters as fx
+from tessella.sinks import writers
+from tessella.sources import labels as lb
+from tessella.sources import listing
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+SIZE, RATIO = 256, 0.3
+
+_SAMPLES = """
+ ranked AS (SELECT doc_id AS sample_id, row_number() OVER (ORDER BY md5(concat('7:', doc_id)), doc_id) AS r, count(*) OVER () AS n FROM documents),
+ cut AS (SELECT *, least(CAST(round_even(n * 70 / 100.0, 0) AS BIGINT), n) AS a FROM ranked),
+ splits AS (SELECT sample_id, CASE WHEN r <= a THEN 'train' WHEN r <= a + least(CAST(round_even(n * 20 / 100.0, 0) AS BIGINT), n - a) THEN 'valid' ELSE 'test' END AS split FROM cut),
+ files AS (SELECT doc_id AS sample_id, list_filter([CASE WHEN quality = 1 THEN 0 END, CASE WHEN toxic = 1 THEN 1 END], lambda x: x IS NOT NULL) AS classes FROM labels),
+ samples AS (SELECT s.sample_id, s.split, f.sample_id IS NOT NULL AS has_label, coalesce(f.classes, []) AS classes, coalesce(len(f.classes), 0) = 0 AS is_background
+             FROM splits s LEFT JOIN files f USING (sample_id))"""
+_INDEX = _SAMPLES + """,
+ idx AS (SELECT split, sample_id, unnest(classes) AS class_id FROM samples),
+ per_class AS (SELECT split, class_id, count(*) AS samples FROM idx GROUP BY ALL)"""
+_POLYGONS = """
+ polys AS (SELECT vec_id, label AS class_id, list_transform(range(0, len(embedding) // 2), lambda i: {'x': (CAST(embedding[2*i+1] AS DOUBLE) + 1) / 2, 'y': (CAST(embedding[2*i+2] AS DOUBLE) + 1) / 2}) AS p FROM embeddings)"""
+_RASTERS = """
+ rasters AS (SELECT p_partkey AS raster_id, p_size * 64 AS cols, (51 - p_size) * 64 AS nrows FROM part)"""
+_TILES = _RASTERS + """,
+ dims AS (SELECT raster_id, CAST(ceil((cols - 1e-9) / 179.0) AS BIGINT) AS nx, CAST(ceil((nrows - 1e-9) / 179.0) AS BIGINT) AS ny FROM rasters),
+ ys AS (SELECT *, unnest(range(0, ny)) AS iy FROM dims),
+ xs AS (SELECT *, unnest(range(0, nx)) AS ix FROM ys),
+ tiles AS (SELECT raster_id, iy * nx + ix + 1 AS tile_id, CAST(ix * 179 AS DOUBLE) AS xmin, CAST(iy * 179 AS DOUBLE) AS ymin, CAST(ix * 179 + 256 AS DOUBLE) AS xmax, CAST(iy * 179 + 256 AS DOUBLE) AS ymax FROM xs)"""
+_BOXES = """
+ boxes AS (SELECT raster_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS class_id, CAST(0.5 AS DOUBLE) + l_discount * 5 AS confidence,
+   CAST((l_orderkey * 37 + l_linenumber * 101) % cols AS DOUBLE) AS bx, CAST((l_orderkey * 53 + l_linenumber * 211) % nrows AS DOUBLE) AS byy, l_quantity AS q
+   FROM lineitem JOIN rasters ON l_partkey = raster_id)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("split_assign", f"WITH {_SAMPLES} SELECT sample_id, split FROM splits")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.split_assign(fx.images(spark, d), fx.TRAIN, fx.VAL, fx.SEED)
+
+
+@query("split_stats", f"""WITH {_SAMPLES} SELECT split, count(*) AS images, count(*) FILTER (has_label) AS label_files, count(*) FILTER (NOT has_label) AS missing,
+  count(*) FILTER (len(classes) = 0) AS empty, count(*) FILTER (len(classes) > 0) AS with_objects, CAST(sum(len(classes)) AS BIGINT) AS objects FROM samples GROUP BY split""")
+def _(spark, d):
+    return stats.split_stats(fx.samples(spark, d))
+
+
+@query("class_share", f"WITH {_INDEX} SELECT split, class_id, samples AS objects, samples * CAST(100.0 AS DOUBLE) / sum(samples) OVER (PARTITION BY split) AS share FROM per_class")
+def _(spark, d):
+    return stats.class_share(fx.samples(spark, d)).withColumn("share", F.col("share").cast("double"))
+
+
+@query("class_index", f"WITH {_INDEX} SELECT split, class_id, samples FROM per_class")
+def _(spark, d):
+    return stats.class_index(fx.samples(spark, d))
+
+
+@query("balance_targets", f"""WITH {_INDEX} SELECT split, count(*) AS classes, greatest(1, min(samples)) AS minimum, greatest(1, CAST(round_even(avg(samples), 0) AS BIGINT)) AS average,
+  greatest(1, CAST(round_even(median(samples), 0) AS BIGINT)) AS median FROM per_class GROUP BY split""")
+def _(spark, d):
+    return balance.targets(fx.samples(spark, d))
+
+
+_BUDGET = _SAMPLES + """,
+ sums AS (SELECT split, count(*) FILTER (NOT is_background) AS objects, count(*) FILTER (is_background) AS before FROM samples GROUP BY split),
+ budget AS (SELECT *, CASE WHEN before = 0 THEN before ELSE CAST(floor(objects * CAST(0.2 AS DOUBLE) / (CAST(1.0 AS DOUBLE) - CAST(0.2 AS DOUBLE))) AS BIGINT) END AS allowed FROM sums)"""
+
+
+@query("background_budget", f"""WITH {_BUDGET} SELECT split, objects, before, allowed, least(before, allowed) AS after, before - least(before, allowed) AS removed,
+  CASE WHEN before = 0 THEN 'disabled_or_no_background' WHEN before > allowed THEN 'trimmed' ELSE 'within_limit' END AS reason FROM budget""")
+def _(spark, d):
+    return balance.background_budget(fx.samples(spark, d), 20, True)
+
+
+_TRIMMED = _BUDGET + """,
+ bg AS (SELECT split, sample_id, row_number() OVER (PARTITION BY split ORDER BY md5(concat('7:', sample_id)), sample_id) AS r FROM samples WHERE is_background),
+ trimmed AS (SELECT * FROM samples s WHERE NOT EXISTS (SELECT 1 FROM bg JOIN budget b USING (split) WHERE bg.split = s.split AND bg.sample_id = s.sample_id AND r > allowed))"""
+
+
+@query("background_trim", f"WITH {_TRIMMED} SELECT split, sample_id FROM trimmed")
+def _(spark, d):
+    return balance.background_trim(fx.samples(spark, d), 20, True, fx.SEED).select("split", "sample_id")
+
+
+def _downsample_sql(source: str) -> str:
+    return f""",
+ tidx AS (SELECT sample_id, unnest(classes) AS class_id FROM {source} WHERE split = 'train'),
+ tcount AS (SELECT class_id, count(*) AS n FROM tidx GROUP BY class_id),
+ goal AS (SELECT greatest(1, CAST(round_even(median(n), 0) AS BIGINT)) AS target, count(*) AS k FROM tcount),
+ tr AS (SELECT sample_id, row_number() OVER (PARTITION BY class_id ORDER BY md5(concat('7:', sample_id)), sample_id) AS r FROM tidx),
+ gone AS (SELECT DISTINCT sample_id FROM tr, goal WHERE k > 1 AND r > target)
+ SELECT split, sample_id FROM {source} WHERE NOT (split = 'train' AND sample_id IN (SELECT sample_id FROM gone))"""
+
+
+@query("class_downsample", f"WITH {_SAMPLES}{_downsample_sql('samples')}")
+def _(spark, d):
+    return balance.downsample(fx.samples(spark, d), "median", fx.SEED).select("split", "sample_id")
+
+
+@query("post_process", f"WITH {_TRIMMED}{_downsample_sql('trimmed')}")
+def _(spark, d):
+    return balance.post_process(fx.samples(spark, d), 20, True, "median", fx.SEED).select("split", "sample_id")
+
+
+@query("totals_rollup", f"WITH {_SAMPLES} SELECT split, count(*) AS images, CAST(sum(len(classes)) AS BIGINT) AS labels FROM samples GROUP BY ROLLUP (split)")
+def _(spark, d):
+    return dataset.totals(fx.samples(spark, d))
+
+
+@query("dataset_report", f"""WITH {_TRIMMED},
+ b AS (SELECT split, count(*) AS images, sum(len(classes)) AS objects FROM samples GROUP BY split),
+ f AS (SELECT split, count(*) AS images, sum(len(classes)) AS objects FROM trimmed GROUP BY split)
+ SELECT split, concat(split, ' images=', f.images, ' objects=', CAST(f.objects AS BIGINT), ' base_images=', coalesce(b.images, 0)) AS line FROM f LEFT JOIN b USING (split)""")
+def _(spark, d):
+    s = fx.samples(spark, d)
+    return stats.report_lines(stats.report(stats.split_stats(s), stats.split_stats(balance.background_trim(s, 20, True, fx.SEED))))
+
+
+@query("build_summary", f"""WITH {_SAMPLES}, t AS (SELECT split, count(*) AS images, CAST(sum(len(classes)) AS BIGINT) AS labels FROM samples GROUP BY split)
+ SELECT concat('{{"layers":["quality","toxic"],"dataset_type":"Detection","split":{{', string_agg(concat('"', split, '":{{"images":', images, ',"labels":', labels, '}}'), ',' ORDER BY split),
+  '}},"total_images":', CAST(sum(images) AS BIGINT), ',"total_labels":', CAST(sum(labels) AS BIGINT), '}}') AS json FROM t""")
+def _(spark, d):
+    return writers.build_summary(dataset.totals(fx.samples(spark, d)), ["quality", "toxic"], "Detection")
+
+
+@query("tile_grid", f"WITH {_TILES} SELECT raster_id, tile_id, xmin, ymin, xmax, ymax FROM tiles")
+def _(spark, d):
+    return tiling.tile_grid(fx.rasters(spark, d), SIZE, RATIO).drop("tile_name")
+
+
+@query("tile_stats", f"WITH {_TILES} SELECT count(*) AS total_tiles, 77 AS overlap_px FROM tiles")
+def _(spark, d):
+    return tiling.tile_stats(tiling.tile_grid(fx.rasters(spark, d), SIZE, RATIO), SIZE, RATIO)
+
+
+@query("alias_join", """WITH g AS (SELECT s_suppkey AS row_no, lower(trim(s_name)) AS key, regexp_extract(lower(trim(s_name)), '([0-9]+)$', 1) AS dg FROM supplier),
+ s AS (SELECT *, left(key, len(key) - len(dg)) AS p, TRY_CAST(dg AS BIGINT) AS n FROM g),
+ c AS (SELECT *, CASE WHEN p LIKE '%\\_' ESCAPE '\\' THEN left(p, len(p) - 1) ELSE p END AS cp FROM s),
+ o AS (SELECT row_no, 0 AS pos, key AS alias FROM c UNION ALL SELECT row_no, 1, cp || n FROM c WHERE n IS NOT NULL
+       UNION ALL SELECT row_no, 2, p || (n - 1) FROM c WHERE n > 0 UNION ALL SELECT row_no, 3, cp || (n - 1) FROM c WHERE n > 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY row_no, pos) AS k FROM o)
+ SELECT alias, row_no, pos FROM r WHERE k = 1""")
+def _(spark, d):
+    return tiling.aliases(fx.grid_names(spark, d))
+
+
+@query("spatial_join", f"""WITH {_TILES}, {_BOXES.strip()}, j AS (SELECT t.*, class_id, confidence, greatest(bx, xmin) AS x1, greatest(byy, ymin) AS y1, least(bx + q, xmax) AS x2, least(byy + q, ymax) AS y2
+  FROM tiles t JOIN boxes b ON t.raster_id = b.raster_id AND bx <= xmax AND xmin <= bx + q AND byy <= ymax AND ymin <= byy + q)
+ SELECT raster_id, tile_id, class_id, ((x1 + x2) * CAST(0.5 AS DOUBLE) - xmin) / 256 AS cx, (ymax - (y1 + y2) * CAST(0.5 AS DOUBLE)) / 256 AS cy, (x2 - x1) / 256 AS w, (y2 - y1) / 256 AS h
+ FROM j WHERE x2 > x1 AND y2 > y1""")
+def _(spark, d):
+    tiles = tiling.tile_grid(fx.rasters(spark, d), SIZE, RATIO).drop("tile_name")
+    j = spatial.box_join(tiles, fx.boxes(spark, d), ["raster_id"], float(SIZE))
+    b = geo.unit_box(spatial.boxes_of(), spatial.boxes_of("r_"))
+    return j.withColumn("b", b).where("b is not null").select("raster_id", "tile_id", "class_id", "b.cx", "b.cy", "b.w", "b.h")
+
+
+@query("polygon_area", f"""WITH {_POLYGONS} SELECT vec_id, round(abs(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].x * p[i % len(p) + 1].y - p[i % len(p) + 1].x * p[i].y))) / 2, 9) AS area FROM polys""")
+def _(spark, d):
+    return fx.polygons(spark, d).select("vec_id", F.round(geo.area(F.col("points")), 9).alias("area"))
+
+
+@query("hull_bbox", f"""WITH {_POLYGONS} SELECT vec_id, list_min(list_transform(p, lambda q: q.x)) AS xmin, list_min(list_transform(p, lambda q: q.y)) AS ymin,
+  list_max(list_transform(p, lambda q: q.x)) AS xmax, list_max(list_transform(p, lambda q: q.y)) AS ymax FROM polys""")
+def _(spark, d):
+    return fx.polygons(spark, d).select("vec_id", geo.hull(F.col("points")).alias("h")).select("vec_id", "h.*")
+
+
+@query("vertex_mean", f"WITH {_POLYGONS} SELECT vec_id, round(list_avg(list_transform(p, lambda q: q.x)), 9) AS x, round(list_avg(list_transform(p, lambda q: q.y)), 9) AS y FROM polys")
+def _(spark, d):
+    return fx.polygons(spark, d).select("vec_id", geo.vertex_mean(F.col("points")).alias("m")).select("vec_id", F.round("m.x", 9).alias("x"), F.round("m.y", 9).alias("y"))
+
+
+@query("largest_polygon", f"""WITH {_POLYGONS}, a AS (SELECT class_id, vec_id, abs(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].x * p[i % len(p) + 1].y - p[i % len(p) + 1].x * p[i].y))) / 2 AS area FROM polys),
+ r AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY area DESC, vec_id) AS k FROM a) SELECT class_id, vec_id, round(area, 9) AS area FROM r WHERE k = 1 AND area > 0""")
+def _(spark, d):
+    a = fx.polygons(spark, d).withColumn("area", geo.area(F.col("points")))
+    best = a.groupBy("class_id").agg(F.max(F.struct("area", (-F.col("vec_id")).alias("order"))).alias("b")).where("b.area > 0")
+    return best.select("class_id", (-F.col("b.order")).alias("vec_id"), F.round("b.area", 9).alias("area"))
+
+
+_VARIANT_SQL = {"rot90": ("1 - q.y", "q.x"), "rot180": ("1 - q.x", "1 - q.y"), "rot270": ("q.y", "1 - q.x"), "fliph": ("1 - q.x", "q.y"), "flipv": ("q.x", "1 - q.y"), "fliph_rot90": ("1 - q.y", "1 - q.x"), "fliph_rot270": ("q.y", "q.x")}
+
+
+@query("affine_variants", f"WITH {_POLYGONS} " + " UNION ALL ".join(f"SELECT vec_id, '{t}' AS tag, list_min(list_transform(p, lambda q: {x})) AS xmin, list_max(list_transform(p, lambda q: {y})) AS ymax, list_transform(p, lambda q: {x})[1] AS x1, list_transform(p, lambda q: {y})[1] AS y1 FROM polys" for t, (x, y) in _VARIANT_SQL.items()))
+def _(spark, d):
+    v = augment.exact_variants(fx.polygons(spark, d)).withColumn("h", geo.hull(F.col("points")))
+    return v.select("vec_id", "tag", "h.xmin", "h.ymax", F.element_at("points", 1)["x"].alias("x1"), F.element_at("points", 1)["y"].alias("y1"))
+
+
+_DONORS = """
+ o AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat('7:', vec_id)), vec_id) - 1 AS no, count(*) OVER () AS n FROM embeddings),
+ dn AS (SELECT a.vec_id, s AS slot, b.vec_id AS donor FROM o a, range(0, 4) t(s), o b WHERE b.no = (a.no + s) % a.n)"""
+
+
+@query("mosaic_labels", f"""WITH {_POLYGONS}, {_DONORS.strip()}, m AS (SELECT dn.vec_id, slot, class_id, list_transform(p, lambda q: {{'x': (slot % 2) * CAST(0.5 AS DOUBLE) + q.x / 2, 'y': (slot // 2) * CAST(0.5 AS DOUBLE) + q.y / 2}}) AS p FROM dn JOIN polys ON polys.vec_id = donor)
+ SELECT vec_id, CAST(slot AS INTEGER) AS slot, class_id, list_min(list_transform(p, lambda q: q.x)) AS xmin, list_max(list_transform(p, lambda q: q.y)) AS ymax FROM m""")
+def _(spark, d):
+    p = fx.polygons(spark, d)
+    donors = augment.with_self(augment.donors(p, 3, fx.SEED, "vec_id"), p, "vec_id")
+    return augment.mosaic(p, donors, "vec_id").withColumn("h", geo.hull(F.col("points"))).select("vec_id", "slot", "class_id", "h.xmin", "h.ymax")
+
+
+@query("mixup_labels", f"WITH {_POLYGONS}, {_DONORS.strip()} SELECT vec_id, class_id FROM polys UNION ALL SELECT dn.vec_id, class_id FROM dn JOIN polys ON polys.vec_id = donor WHERE slot = 1")
+def _(spark, d):
+    p = fx.polygons(spark, d)
+    return augment.mixup(p, augment.donors(p, 1, fx.SEED, "vec_id"), "vec_id").select("vec_id", "class_id")
+
+
+@query("crop_labels", f"""WITH {_POLYGONS}, c AS (SELECT vec_id, list_transform(p, lambda q: greatest(0, least(1, (q.x - CAST(0.25 AS DOUBLE)) / CAST(0.5 AS DOUBLE)))) AS xs, list_transform(p, lambda q: greatest(0, least(1, (q.y - CAST(0.25 AS DOUBLE)) / CAST(0.5 AS DOUBLE)))) AS ys FROM polys)
+ SELECT vec_id, list_min(xs) AS xmin, list_max(ys) AS ymax FROM c WHERE list_max(xs) - list_min(xs) >= CAST(1e-4 AS DOUBLE) AND list_max(ys) - list_min(ys) >= CAST(1e-4 AS DOUBLE)""")
+def _(spark, d):
+    c = augment.crop(F.col("points"), F.lit(0.25), F.lit(0.25), F.lit(0.5))
+    return fx.polygons(spark, d).withColumn("c", c).where("c is not null").withColumn("h", geo.hull(F.col("c"))).select("vec_id", "h.xmin", "h.ymax")
+
+
+_PARTS = "list_filter(string_split(regexp_replace(trim(line), '\\s+', ' ', 'g'), ' '), lambda t: len(t) > 0)"
+_LINES = f"""
+ src AS (SELECT l_orderkey, l_linenumber, l_linenumber % 5 AS k, CAST(l_orderkey % 9 + CAST(0.6 AS DOUBLE) AS DOUBLE) AS c, l_quantity / 64 AS q, l_discount AS dd, l_tax AS t FROM lineitem)"""
+
+
+@query("label_parse", f"""WITH {_LINES} SELECT l_orderkey, l_linenumber,
+  CASE WHEN k IN (0, 1) THEN CAST(trunc(c) AS INTEGER) END AS object_class, CASE k WHEN 0 THEN 'bbox' WHEN 1 THEN 'poly' END AS source_kind,
+  CASE WHEN k <> 3 THEN CAST(trunc(c) AS INTEGER) END AS class_only, CASE WHEN k IN (0, 1, 4) THEN CAST(round_even(c, 0) AS INTEGER) END AS report_class,
+  CASE k WHEN 0 THEN 4 WHEN 1 THEN 3 END AS n_points FROM src""")
+def _(spark, d):
+    o = lb.parse_object(F.col("line"))
+    return fx.label_lines(spark, d).withColumn("o", o).select("l_orderkey", "l_linenumber", F.col("o.class_id").alias("object_class"), "o.source_kind", lb.parse_class(F.col("line")).alias("class_only"), lb.parse_report_class(F.col("line")).alias("report_class"), F.size("o.points").alias("n_points"))
+
+
+@query("label_format", f"WITH {_POLYGONS} SELECT vec_id, len(p) * 2 + 1 AS n_tokens, CAST(class_id AS VARCHAR) AS class_token FROM polys")
+def _(spark, d):
+    line = writers.label_line(F.col("class_id"), F.col("points"), F.lit("poly"))
+    return fx.polygons(spark, d).withColumn("t", F.split(line, " ")).select("vec_id", F.size("t").cast("long").alias("n_tokens"), F.element_at("t", 1).alias("class_token"))
+
+
+def _detections(spark, d) -> DataFrame:
+    """Boxes as detections in pixels of their raster, with a triangle and a quadrangle as masks. det_id
+    is made of the row, as its keys aren't unique."""
+    b = fx.boxes(spark, d).withColumn("det_id", F.monotonically_increasing_id())
+    xy = lambda *p: F.array(*(F.array(F.col(x), F.col(y)) for x, y in p))
+    masks = F.array(xy(("xmin", "ymin"), ("xmax", "ymin"), ("xmin", "ymax")), xy(("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax")))
+    box = F.when(F.col("class_id") == 2, F.lit(None)).otherwise(F.array("xmin", "ymin", "xmax", "ymax"))
+    d_ = b.select("raster_id", "det_id", F.col("class_id").cast("string").alias("class"), "confidence", box.alias("bbox_xyxy"), masks.alias("mask_polygons_px"))
+    r = fx.rasters(spark, d).select("raster_id", F.col("cell_x").alias("pixel_w"), F.col("cell_y").alias("pixel_h"), "xmin", "ymin", "xmax", "ymax", F.concat(F.lit("raster_"), F.col("raster_id").cast("string")).alias("source_img"))
+    return d_.join(r, "raster_id")
+
+
+@query("detection_json", f"WITH {_RASTERS}, {_BOXES.strip()} SELECT raster_id, count(*) AS detections, count(*) FILTER (class_id <> 2) AS with_box, CAST(2 * count(*) AS BIGINT) AS polygons FROM boxes GROUP BY raster_id")
+def _(spark, d):
+    text = writers.detections_json(_detections(spark, d), ["raster_id"], ["det_id"])
+    back = listing.parse_detections(text, "json")
+    return back.groupBy("raster_id").agg(F.count("*").alias("detections"), F.count("bbox_xyxy").alias("with_box"), F.sum(F.size("mask_polygons_px")).cast("long").alias("polygons"))
+
+
+@query("feature_points", f"""WITH {_RASTERS}, {_BOXES.strip()}, f AS (SELECT b.raster_id, bx + q / 2 AS x, nrows - (byy + q / 2) AS y, confidence FROM boxes b JOIN rasters USING (raster_id))
+ SELECT raster_id, count(*) AS n, round(sum(x), 3) AS sum_x, round(sum(y), 3) AS sum_y, round(sum(confidence), 6) AS sum_confidence FROM f GROUP BY raster_id""")
+def _(spark, d):
+    p = features.points(features.prepared(_detections(spark, d)))
+    return p.withColumn("raster_id", F.substring_index("source_img", "_", -1).cast("long")).groupBy("raster_id").agg(F.count("*").alias("n"), F.round(F.sum("geometry.x"), 3).alias("sum_x"), F.round(F.sum("geometry.y"), 3).alias("sum_y"), F.round(F.sum("confidence"), 6).alias("sum_confidence"))
+
+
+@query("feature_boxes", f"WITH {_RASTERS}, {_BOXES.strip()} SELECT raster_id, bx AS x1, nrows - (byy + q) AS y1, bx + q AS x2, nrows - byy AS y2, confidence, CAST(class_id AS VARCHAR) AS class FROM boxes JOIN rasters USING (raster_id) WHERE class_id <> 2")
+def _(spark, d):
+    b = features.boxes(features.prepared(_detections(spark, d)))
+    at = lambda i: F.element_at("geometry", i)
+    return b.select(F.substring_index("source_img", "_", -1).cast("long").alias("raster_id"), at(1)["x"].alias("x1"), at(1)["y"].alias("y1"), at(3)["x"].alias("x2"), at(3)["y"].alias("y2"), "confidence", "class")
+
+
+@query("feature_masks", f"WITH {_RASTERS}, {_BOXES.strip()} SELECT raster_id, count(*) AS n, round(sum(q * q), 3) AS area FROM boxes GROUP BY raster_id")
+def _(spark, d):
+    m = features.masks(features.prepared(_detections(spark, d)))
+    return m.groupBy(F.substring_index("source_img", "_", -1).cast("long").alias("raster_id")).agg(F.count("*").alias("n"), F.round(F.sum(geo.area(F.col("geometry"))), 3).alias("area"))
+
+
+@query("seed_hash", """WITH RECURSIVE t AS (SELECT c_custkey, c_name, 1 AS i, CAST(17 AS BIGINT) AS h FROM customer UNION ALL
+  SELECT c_custkey, c_name, i + 1, ((h * 31 + unicode(substr(c_name, i, 1)) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 FROM t WHERE i <= len(c_name))
+ SELECT c_custkey, abs(h) AS seed FROM t WHERE i = len(c_name) + 1""")
+def _(spark, d):
+    return fx.read(spark, d, "customer").select("c_custkey", sc.seed_hash(F.col("c_name")).alias("seed"))
+
+
+@query("yaml_key", "SELECT p_partkey, replace(replace(replace(replace(replace(replace(replace(lower(trim(p_name || ' (90°)/' || p_type)), '°', ''), '(', ''), ')', ''), '/', '_'), '&', 'and'), '-', '_'), ' ', '_') AS key FROM part")
+def _(spark, d):
+    return fx.read(spark, d, "part").select("p_partkey", sc.yaml_key(F.concat("p_name", F.lit(" (90°)/"), "p_type")).alias("key"))
+
+
+@query("experiment_name", "SELECT p_partkey, '20240101_000000_' || p_size || 'px_conf' || lpad(CAST(CAST(round_even(p_size / 50.0 * 10, 0) AS INTEGER) AS VARCHAR), 2, '0') || '_' || p_brand AS name FROM part")
+def _(spark, d):
+    return fx.read(spark, d, "part").select("p_partkey", sc.detection_name(F.lit("20240101_000000"), F.col("p_size"), F.col("p_size") / 50.0, F.col("p_brand")).alias("name"))
+
+
+@query("rebalance_shares", """WITH s AS (SELECT p_partkey, p_size AS c, p_size % 7 AS a, p_size % 11 AS b FROM part), r AS (SELECT *, greatest(100 - c, 0) AS lft, CASE WHEN a + b > 0 THEN CAST(a AS DOUBLE) / (a + b) ELSE 0.5 END AS ratio FROM s),
+ n AS (SELECT *, CAST(round(lft * ratio) AS BIGINT) AS n1, CAST(round(lft * (1 - ratio)) AS BIGINT) AS n2 FROM r)
+ SELECT p_partkey, greatest(0, least(100, CASE WHEN n1 >= n2 THEN n1 + 100 - c - n1 - n2 ELSE n1 END)) AS first, greatest(0, least(100, CASE WHEN n1 >= n2 THEN n2 ELSE n2 + 100 - c - n1 - n2 END)) AS second FROM n""")
+def _(spark, d):
+    s = F.col("p_size")
+    return fx.read(spark, d, "part").select("p_partkey", sc.rebalance(s, s % 7, s % 11).alias("r")).select("p_partkey", "r.first", "r.second")
+
+
+@query("estimate", "SELECT p_partkey, least(8, 1 + p_size % 12) + 2 AS copies, p_size * 900 * (least(8, 1 + p_size % 12) + 2) AS images, CAST(p_size * 900 * (least(8, 1 + p_size % 12) + 2) / 20.0 AS DOUBLE) AS seconds, p_size * 900 * (least(8, 1 + p_size % 12) + 2) > 100000 AS warn FROM part")
+def _(spark, d):
+    s = F.col("p_size")
+    return fx.read(spark, d, "part").select("p_partkey", sc.estimate(s * 900, s % 12, F.lit(2)).alias("e")).select("p_partkey", "e.copies", "e.images", F.col("e.seconds").cast("double").alias("seconds"), "e.warn")
+
+
+@query("layer_resolve", "WITH r AS (SELECT n_nationkey AS class_id, '  ' || upper(n_name) AS name FROM nation), f AS (SELECT lower(trim(n_name)) AS k, arg_min(n_name, n_nationkey) AS layer, min(n_nationkey) AS layer_no FROM nation WHERE n_regionkey <> 2 GROUP BY 1) SELECT class_id, name, layer, layer_no FROM r JOIN f ON lower(trim(name)) = k")
+def _(spark, d):
+    n = fx.read(spark, d, "nation")
+    return listing.resolve_layers(n.select(F.col("n_nationkey").alias("class_id"), F.concat(F.lit("  "), F.upper("n_name")).alias("name")), n.where("n_regionkey <> 2").select(F.col("n_nationkey").alias("layer_no"), F.col("n_name").alias("name")))
+
+
+@query("preset_join", "SELECT n_name AS name, CASE WHEN n_regionkey = 1 THEN CAST(n_nationkey AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS value, CASE WHEN n_regionkey = 1 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS prob, n_regionkey = 1 AS enabled FROM nation")
+def _(spark, d):
+    n = fx.read(spark, d, "nation")
+    options = n.select(F.col("n_name").alias("name"), F.lit(0.0).alias("value"), F.lit(1.0).alias("prob"), F.lit(False).alias("enabled"))
+    preset = n.where("n_regionkey = 1").select(F.lower("n_name").alias("name"), F.col("n_nationkey").cast("double").alias("value"), F.lit(0.5).alias("prob"), F.lit(True).alias("enabled"))
+    return listing.apply_preset(options, preset)
+
+
+_EXT = "['tif', 'tiff', 'img', 'vrt', 'png'][1 + CAST(s_suppkey % 5 AS INTEGER)]"
+
+
+@query("ortho_pick", f"WITH f AS (SELECT s_nationkey AS folder, s_name || '.' || {_EXT} AS path, 1 + s_suppkey % 5 AS r FROM supplier), k AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY r, path) AS n FROM f WHERE r < 5) SELECT folder, path FROM k WHERE n = 1")
+def _(spark, d):
+    ext = F.element_at(F.array(*map(F.lit, ("tif", "tiff", "img", "vrt", "png"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    return listing.pick_ortho(fx.read(spark, d, "supplier").select(F.col("s_nationkey").alias("folder"), F.concat_ws(".", "s_name", ext).alias("path")))
+
+
+@query("nms")
+def _(spark, d):
+    """Kept boxes per raster and class. det_id depends on how files are read, and with it ties."""
+    kept = features.suppress(_detections(spark, d))
+    return kept.groupBy("raster_id", "class").agg(F.count("*").alias("kept"))
+
+
+@query("obb")
+def _(spark, d):
+    return features.oriented(features.prepared(_detections(spark, d))).select("det_id", "geometry")
+
+
+@query("polygon_union")
+def _(spark, d):
+    return features.union(features.prepared(_detections(spark, d))).select("det_id", "parts")
+
+
+def _images(spark, d) -> DataFrame:
+    """Small images made by rule from the rasters."""
+
+    def make(frames):
+        for f in frames:
+            y, x = np.mgrid[:24, :32]
+            rows = [np.stack([(x * k + y) % 256, (x + y * k) % 256, (x * y + k) % 256], 2).astype(np.uint8).tobytes() for k in f["raster_id"]]
+            yield f.assign(image_id=f["raster_id"], height=24, width=32, data=rows)[["image_id", "height", "width", "data"]]
+
+    return fx.rasters(spark, d).select("raster_id").mapInPandas(make, "image_id long, height int, width int, data binary")
+
+
+@query("image_ops")
+def _(spark, d):
+    value = {"hue": (0, 0.1), "saturation": (0.8, 1.2), "brightness": (0.8, 1.2), "contrast": (0.8, 1.2), "clahe": (1, 3), "solarize": (100, 200), "posterize": (3, 7), "auto_contrast": (0, 2), "gaussian_blur": (1, 5), "median_blur": (1, 3), "gaussian_noise": (1, 8), "salt_pepper": (0, 0.05), "random_shadow": (0.1, 0.5), "rain_fog": (0.1, 0.4), "cutout": (0.1, 0.3), "erasing": (0.1, 0.3)}
+    options = {n: {"enabled": True, "value_min": value.get(n, (0, 1))[0], "value_max": value.get(n, (0, 1))[1], "prob": 0.4} for n, _ in imageops.PIPELINE}
+    return imageops.apply_images(_images(spark, d), options, 2, fx.SEED).select("image_id", "tag", F.md5("data").alias("digest"), "extreme_share")
+
+
+@query("tile_images")
+def _(spark, d):
+    return imageops.cut_tiles(_images(spark, d), 16, 11).select("image_id", "tile_id", F.length("png").alias("bytes"))
+
+
+@query("copy_paste_labels")
+def _(spark, d):
+    p = fx.polygons(spark, d).withColumn("object_ord", F.lit(0))
+    return augment.copy_paste(p, augment.donors(p, 1, fx.SEED, "vec_id"), 3, 640, 640, fx.SEED, "vec_id").groupBy("vec_id").agg(F.count("*").alias("objects"))
