@@ -10,6 +10,11 @@ from tessella.functions.scalars import clamp
 POINTS = "array<struct<x:double,y:double>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value named once, so that an expression that uses it often stays small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def point(x, y) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     return F.struct(lit(x).cast("double").alias("x"), lit(y).cast("double").alias("y"))
@@ -20,12 +25,21 @@ def box_ring(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.array(point(x1, y1), point(x2, y1), point(x2, y2), point(x1, y2), point(x1, y1))
 
 
-def area(points: Column) -> Column:
-    """Shoelace over an open or closed ring; 0 under 3 points."""
+def _cross_sum(points: Column, weight=None) -> Column:
+    """Sum over the sides p -> q of (p.x * q.y - q.x * p.y) * weight(p, q)."""
     n = F.size(points)
     at = lambda i: F.element_at(points, (i + 1).cast("int"))
-    term = lambda i: at(i)["x"] * at((i + 1) % n)["y"] - at((i + 1) % n)["x"] * at(i)["y"]
-    return F.when(n >= 3, F.abs(F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0.0), lambda s, i: s + term(i))) * 0.5).otherwise(0.0)
+
+    def term(p: Column, q: Column) -> Column:
+        cross = p["x"] * q["y"] - q["x"] * p["y"]
+        return cross if weight is None else weight(p, q) * cross
+
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0.0), lambda s, i: s + term(at(i), at((i + 1) % n)))
+
+
+def area(points: Column) -> Column:
+    """Shoelace over an open or closed ring; 0 under 3 points."""
+    return let(points, lambda r: F.when(F.size(r) >= 3, F.abs(_cross_sum(r)) * 0.5).otherwise(0.0))
 
 
 def hull(points: Column) -> Column:
@@ -41,27 +55,25 @@ def vertex_mean(points: Column) -> Column:
 
 def centroid(points: Column) -> Column:
     """Area centroid of a simple ring; null where the area is 0."""
-    n = F.size(points)
-    at = lambda i: F.element_at(points, (i + 1).cast("int"))
-    cross = lambda i: at(i)["x"] * at((i + 1) % n)["y"] - at((i + 1) % n)["x"] * at(i)["y"]
-    total = lambda f: F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0.0), lambda s, i: s + f(i))
-    a = total(cross)
-    part = lambda k: total(lambda i: (at(i)[k] + at((i + 1) % n)[k]) * cross(i)) / (3 * a)
-    return F.when((n >= 3) & (a != 0), point(part("x"), part("y")))
+
+    def of(r: Column) -> Column:
+        sums = F.struct(_cross_sum(r).alias("a"), _cross_sum(r, lambda p, q: p["x"] + q["x"]).alias("x"), _cross_sum(r, lambda p, q: p["y"] + q["y"]).alias("y"))
+        return let(F.when(F.size(r) >= 3, sums), lambda s: F.when(s["a"] != 0, point(s["x"] / (3 * s["a"]), s["y"] / (3 * s["a"]))))
+
+    return let(points, of)
 
 
 def largest(polygons: Column) -> Column:
     """The polygon of the largest area, the first of equals; null if none has an area."""
-    sized = F.transform(polygons, lambda p, i: F.struct(area(p).alias("area"), (-i).alias("order"), p.alias("points")))
-    best = F.array_max(F.transform(sized, lambda s: F.struct(s["area"], s["order"])))
-    return F.when(best["area"] > 0, F.element_at(polygons, (1 - best["order"]).cast("int")))
+    best = F.array_max(F.transform(polygons, lambda p, i: F.struct(area(p).alias("area"), (-i).alias("order"))))
+    return let(best, lambda b: F.when(b["area"] > 0, F.element_at(polygons, (1 - b["order"]).cast("int"))))
 
 
 def closed(points: Column) -> Column:
     """A ring that ends where it starts; null under 3 points, and under 4 before closing, so that an
     open triangle gives none."""
-    n = F.size(points)
-    return F.when((n >= 3) & (n >= 4), F.when(F.element_at(points, 1) == F.element_at(points, -1), points).otherwise(F.concat(points, F.slice(points, 1, 1))))
+    whole = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    return let(points, lambda r: F.when(F.size(r) >= 4, whole(r)))
 
 
 def pairs(flat: Column) -> Column:
@@ -123,10 +135,10 @@ def clip(points: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Colu
 
         return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), step))).otherwise(none)
 
-    out = points
-    for axis, bound, sign in (("x", x1, 1), ("x", x2, -1), ("y", y1, 1), ("y", y2, -1)):
-        out = side(out, axis, bound, sign)
-    return out
+    left = let(points, lambda r: side(r, "x", x1, 1))
+    right = let(left, lambda r: side(r, "x", x2, -1))
+    low = let(right, lambda r: side(r, "y", y1, 1))
+    return let(low, lambda r: side(r, "y", y2, -1))
 
 
 def remap(points: Column, x_off, y_off, scale_x, scale_y) -> Column:
