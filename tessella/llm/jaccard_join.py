@@ -9,6 +9,8 @@ copies. Each node is embedded as TOKENS MinHash values; the tree of chosen paths
   bucket of the next level.
 - Buckets of at most BUCKET nodes are compared by brute force. Larger ones are split further, and
   their nodes are compared with the bucket's least node, which is enough where all are alike.
+  What is large after LEVELS splits is compared block by block, so no pair of a bucket is left out;
+  a bucket of many nodes that are unlike its least node costs the square of their number.
 - Two nodes at the threshold share a bucket of level 1 with probability 1 - 1/e in a run, so RUNS
   runs find them with probability over 0.9999; of level 4, 0.97. Closer ones are found more often.
 
@@ -174,13 +176,11 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, x = bucket.column("node").to_numpy(), _matrix(bucket.column("bytes"), np.uint8)
         order = np.argsort(nodes)
         nodes, x = nodes[order], x[order]
-        for at in range(0, len(nodes), 512):  # buckets of the last level may exceed BUCKET a little
-            own, part = nodes[at : at + 512], x[at : at + 512]
-            i, j = np.nonzero((part[:, None, :] == part[None, :, :]).mean(2, dtype=np.float32) >= low) if len(own) <= 64 else _by_rows(part, low)
-            least = _local_least(len(own), i, j)
-            moved = np.flatnonzero(least != np.arange(len(own)))
-            a_out += own[moved].tolist()
-            b_out += own[least[moved]].tolist()
+        i, j = np.nonzero((x[:, None, :] == x[None, :, :]).mean(2, dtype=np.float32) >= low) if len(nodes) <= 64 else _by_rows(x, low)
+        least = _local_least(len(nodes), i, j)
+        moved = np.flatnonzero(least != np.arange(len(nodes)))
+        a_out += nodes[moved].tolist()
+        b_out += nodes[least[moved]].tolist()
         if len(a_out) >= 4096:
             yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
             a_out, b_out = [], []
@@ -193,6 +193,20 @@ def _by_rows(x: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.full(len(j), k) for k, j in found]), np.concatenate([j for _, j in found])
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each pair of blocks of a bucket, as those of _brute."""
+    low = CANDIDATE + (1 - CANDIDATE) / 256
+    for group in _grouped(batches, ["path", "i", "j"]):
+        order = np.argsort(group.column("node").to_numpy())
+        nodes, block = (group.column(c).to_numpy()[order] for c in ("node", "block"))
+        x = _matrix(group.column("bytes"), np.uint8)[order]
+        left, right = (np.flatnonzero(block == group.column(c)[0].as_py()) for c in ("i", "j"))
+        hits = [right[(x[right] == x[k]).mean(1, dtype=np.float32) >= low] for k in left]
+        least = _local_least(len(nodes), np.repeat(left, [len(h) for h in hits]), np.concatenate([*hits, np.empty(0, int)]))
+        moved = np.flatnonzero(least != np.arange(len(nodes)))
+        yield pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], names=["a", "b"])
+
+
 def _large():
     """Of the nodes of large buckets: the link to the bucket's least node, and the next paths."""
 
@@ -202,11 +216,24 @@ def _large():
         path = batch.column("path").to_numpy().view(np.uint64)
         nxt, row = chosen(path, e)
         split = np.split(nxt.view(np.int64), np.cumsum(np.bincount(row, minlength=len(path)))[:-1])
-        return pa.record_batch([batch.column("node"), batch.column("pivot"), pa.array(near), pa.array(split, pa.list_(pa.int64()))], names=["node", "pivot", "near", "paths"])
+        return pa.record_batch([batch.column("path"), batch.column("node"), batch.column("pivot"), pa.array(near), pa.array(split, pa.list_(pa.int64()))], names=["path", "node", "pivot", "near", "paths"])
 
     return work
 
 
+def _blocks(large: DataFrame, few: DataFrame) -> DataFrame:
+    """(a, b) of buckets that are large after all splits (path, node, near): all pairs of blocks of
+    BLOCK nodes meet, but for those of nodes near the pivot, which are linked through it."""
+    count = lambda c: F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("int")
+    counts = large.groupBy("path").agg(F.count("*").alias("n"), count(~F.col("near")).alias("far"), count(F.col("near")).alias("close")).where("far > 0")
+    dealt = join_counted(large.select("path", "node", "near"), "path", counts, 0)
+    dealt = dealt.withColumn("block", F.when(F.col("near"), F.col("far") + F.pmod(F.xxhash64("node"), "close")).otherwise(F.pmod(F.xxhash64("node"), "far")).cast("int"))
+    last = F.when(F.col("near"), F.col("far")).otherwise(F.col("far") + F.col("close")) - 1
+    pairs = dealt.join(few, "node").withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    pairs = pairs.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "bytes")
+    return pairs.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_met, "a long, b long")
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
     """(a, b): links of the embedding, enough to connect each component of candidates."""
     few = nodes.select("node", "bytes")
@@ -215,9 +242,6 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         sizes = state.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").withColumn("size", F.col("n"))
         rows = materialize(join_counted(state, "path", sizes, 0), "paths")
         small = rows.where(F.col("size") <= BUCKET).select("path", "node")
-        if level == LEVELS:  # what still is large after all splits meets in parts
-            part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BUCKET))
-            small = small.unionAll(rows.where(F.col("size") > BUCKET).select(F.xxhash64("path", part).alias("path"), "node"))
         met = small.join(few, "node").repartition("path").sortWithinPartitions("path")
         found.append(materialize(met.mapInArrow(_brute, "a long, b long"), "links"))
         large = rows.where(F.col("size") > BUCKET).select("path", "node", "pivot")
@@ -225,8 +249,10 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             break
         own = nodes.select("node", "sketch")
         compared = large.join(own, "node").join(own.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
-        after = materialize(arrow_pass(compared, _large, "node long, pivot long, near boolean, paths array<long>", rows=1024), "large")
+        after = materialize(arrow_pass(compared, _large, "path long, node long, pivot long, near boolean, paths array<long>", rows=1024), "large")
         found.append(after.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        if level == LEVELS:
+            found.append(materialize(_blocks(after, few), "links"))
         state = after.select("node", F.explode("paths").alias("path"))
         drop_table(rows)
     out = found[0]

@@ -68,3 +68,23 @@ def test_overlaps_and_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e"))
     empty = spark.read.parquet(str(tmp_path / "e"))
     assert jj.join(empty).count() == 0 and jj.apply(empty).count() == 0
+
+
+def test_near_copies_among_frequent_passages(spark, tmp_path):
+    """With the constants as they are: each text is 60 of 100 passages, so no shingle tells few texts
+    apart and last buckets hold more than BUCKET texts; every tenth swaps 5 of its predecessor's."""
+    r = random.Random(5)
+    passages, rows, own = [f"p{k} q{k} r{k} t{k} s s s s" for k in range(100)], [], []
+    for i in range(3000):
+        if i % 10 == 1:
+            own = sorted([*r.sample(own, 55), *r.sample([k for k in range(100) if k not in own], 5)])
+        else:
+            own = sorted(r.sample(range(100), 60))
+        rows.append((i, " ".join(passages[k] for k in own)))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "p"))
+    got = {x.doc_id: (x.class_id, x.n_links) for x in jj.join(spark.read.parquet(str(tmp_path / "p"))).collect()}
+    pairs = [(i - 1, i) for i in range(1, 3000, 10)]
+    assert all(truth([rows[a], rows[b]])[1] == 1 for a, b in pairs)
+    recall = sum(got[b] == (a, 1) for a, b in pairs) / len(pairs)
+    assert recall >= 0.97
+    assert all(got[i] == (i, 0) for i in range(3000) if i % 10 > 1)
