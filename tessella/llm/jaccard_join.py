@@ -11,8 +11,9 @@ copies. Each node is embedded as TOKENS MinHash values; the tree of chosen paths
   their nodes are compared with the bucket's least node, which is enough where all are alike.
   What is large after LEVELS splits is compared block by block, so no pair of a bucket is left out;
   a bucket of many nodes that are unlike its least node costs the square of their number.
-- Two nodes at the threshold share a bucket of level 1 with probability 1 - 1/e in a run, so RUNS
-  runs find them with probability over 0.9999; of level 4, 0.97. Closer ones are found more often.
+- Two nodes at the threshold share a bucket of level 1 with probability 1 - 1/e in a run, of deeper
+  ones less often; RUNS is the least number of runs in which they share one of level LEVELS with
+  probability TARGET (recall()). Closer ones are found more often.
 
 Buckets compare the embedding with a margin of MARGIN standard errors and yield candidate links; the
 components of these are then compared exactly, by blocks of BLOCK nodes, on the sets of the whole
@@ -26,6 +27,7 @@ apart by row, so a repeated id is no trouble; other columns are ignored (kept by
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,7 +40,24 @@ from tessella.llm.common import arrow_pass, drop_table, join_counted, materializ
 from tessella.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-TOKENS, RUNS, LEVELS, BUCKET, BLOCK, MARGIN = 128, 10, 4, 48, 256, 4.0
+TOKENS, LEVELS, BUCKET, BLOCK, MARGIN = 128, 6, 48, 256, 4.0
+#: The least probability with which two nodes at the threshold share a bucket of level LEVELS.
+TARGET = 0.97
+
+
+def recall(runs: int, levels: int = LEVELS) -> float:
+    """The probability that two nodes at the threshold share a bucket of that level in one of the
+    runs: shared tokens are binomial, and each continues a path with probability 1 / (THRESHOLD * TOKENS)."""
+    out = 0.0
+    for m in range(TOKENS + 1):
+        q = 1.0
+        for _ in range(levels):
+            q = 1 - (1 - q / (THRESHOLD * TOKENS)) ** m
+        out += math.comb(TOKENS, m) * THRESHOLD**m * (1 - THRESHOLD) ** (TOKENS - m) * (1 - (1 - q) ** runs)
+    return out
+
+
+RUNS = next(r for r in range(1, 1000) if recall(r) >= TARGET)
 WORD = re.compile(r"\w+")
 _A = np.random.default_rng(21).integers(1, 1 << 32, TOKENS, dtype=np.uint32) | 1
 _B = np.random.default_rng(22).integers(0, 1 << 32, TOKENS, dtype=np.uint32)

@@ -88,3 +88,18 @@ def test_near_copies_among_frequent_passages(spark, tmp_path):
     recall = sum(got[b] == (a, 1) for a, b in pairs) / len(pairs)
     assert recall >= 0.97
     assert all(got[i] == (i, 0) for i in range(3000) if i % 10 > 1)
+
+
+def test_runs_reach_the_target_at_full_depth():
+    assert jj.LEVELS >= 6 and jj.recall(jj.RUNS) >= jj.TARGET > jj.recall(jj.RUNS - 1)
+    r, n = np.random.default_rng(4), 600
+    met = 0
+    for _ in range(n):
+        a = r.integers(0, 1 << 32, jj.TOKENS, dtype=np.uint32)
+        b = np.where(r.random(jj.TOKENS) < jj.THRESHOLD, a, a ^ np.uint32(1))
+        paths = jj._ROOTS
+        for _ in range(jj.LEVELS):
+            x, y = (jj.chosen(paths, np.broadcast_to(e, (len(paths), jj.TOKENS)))[0] for e in (a, b))
+            paths = np.intersect1d(x, y)
+        met += len(paths) > 0
+    assert met / n >= jj.TARGET - 0.02
