@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,3 +57,16 @@ def test_redaction_and_added_spans(spark):
 def test_no_python_in_the_plan(spark):
     plan = secrets.report(secrets.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), [0.0] * secrets.SIZE**2))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_scan_finds_runs_of_letters_only(spark):
+    """Through scan(): random letters against identifiers of words that the samples don't have."""
+    r = random.Random(3)
+    words = "apple bridge carbon garden harbor island jungle kitchen lantern mountain needle orange pepper rocket silver tunnel velvet winter yellow zebra".split()
+    hits = ["".join(r.choices(string.ascii_letters, k=r.randint(16, 32))) for _ in range(500)]
+    names = [r.choice(["_".join, "-".join, "".join, lambda w: "".join(map(str.title, w)), lambda w: "_".join(w).upper()])(r.sample(words, 4)) for _ in range(500)]
+    rules = [c * n for c in "-=_+/" for n in (16, 40, 80)]
+    rows = [(k, f"a {v} b") for k, v in enumerate(hits + names + rules)]
+    got = {x.doc_id: x.s for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.joined(("random",)).alias("s")).collect()}
+    found = [got[k] == f"random:2:{2 + len(v)}" for k, v in enumerate(hits + names + rules)]
+    assert sum(found[:500]) / 500 >= 0.97 and sum(found[500:1000]) / 500 <= 0.01 and not any(found[1000:]), (sum(found[:500]), sum(found[500:1000]), sum(found[1000:]))
