@@ -55,16 +55,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label) of each node that has an edge to another; label is the least node of the
-    component. a, b: columns of longs. Nulls and loops are ignored."""
+    """(node, label) of each node that has an edge to another, as a table; label is the least node of
+    the component. a, b: columns of longs. Nulls and loops are ignored."""
     now = materialize(edges.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), "edges")
-    levels, own = [], Window.partitionBy("node").orderBy("root")
+    levels, tables, own = [], [], Window.partitionBy("node").orderBy("root")
     for _ in range(MAX_LEVELS):
         n = now.count()
         if not n:
             break
         forest = now.coalesce(-(-n // CHUNK)).mapInArrow(_forest, "node long, root long")
         least = materialize(forest.withColumn("place", F.row_number().over(own)).withColumn("m", F.min("root").over(own)), "forest")
+        tables.append(least)
         levels.append(least.where("place = 1").select("node", "m"))
         drop_table(now)
         now = materialize(least.where("root <> m").select(F.col("root").alias("a"), F.col("m").alias("b")), "edges")
@@ -75,4 +76,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     out = levels[-1].select("node", F.col("m").alias("label"))
     for level in reversed(levels[:-1]):
         out = level.join(out.withColumnRenamed("node", "m"), "m", "left").select("node", F.coalesce("label", "m").alias("label"))
+    out = materialize(out, "labels")
+    for done in tables:
+        drop_table(done)
     return out

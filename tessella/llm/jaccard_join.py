@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_pass, drop_table, join_counted, materialize
+from tessella.llm.common import arrow_pass, drop_table, grouped, join_counted, local_least, located, materialize, overlaps
 from tessella.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -149,54 +149,16 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _local_least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least place of each place's component, for pairs of places."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return np.array([find(x) for x in range(n)], int)
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Whole groups out of batches in which the rows of a group follow each other."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
-        if rest and any(rest[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
-            yield pa.concat_batches(rest)
-            rest = []
-        at = 0
-        for cut in change.tolist():
-            own = [*rest, batch.slice(at, cut - at)]
-            yield pa.concat_batches(own) if len(own) > 1 else own[0]
-            rest, at = [], cut
-        rest.append(batch.slice(at))
-    if rest:
-        yield pa.concat_batches(rest)
-
-
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each small bucket to the least node of the component they give there."""
     low = CANDIDATE + (1 - CANDIDATE) / 256  # bytes of different values are equal by chance
     a_out, b_out = [], []
-    for bucket in _grouped(batches, ["path"]):
+    for bucket in grouped(batches, ["path"]):
         nodes, x = bucket.column("node").to_numpy(), _matrix(bucket.column("bytes"), np.uint8)
         order = np.argsort(nodes)
         nodes, x = nodes[order], x[order]
         i, j = np.nonzero((x[:, None, :] == x[None, :, :]).mean(2, dtype=np.float32) >= low) if len(nodes) <= 64 else _by_rows(x, low)
-        least = _local_least(len(nodes), i, j)
+        least = local_least(len(nodes), i, j)
         moved = np.flatnonzero(least != np.arange(len(nodes)))
         a_out += nodes[moved].tolist()
         b_out += nodes[least[moved]].tolist()
@@ -215,13 +177,13 @@ def _by_rows(x: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each pair of blocks of a bucket, as those of _brute."""
     low = CANDIDATE + (1 - CANDIDATE) / 256
-    for group in _grouped(batches, ["path", "i", "j"]):
+    for group in grouped(batches, ["path", "i", "j"]):
         order = np.argsort(group.column("node").to_numpy())
         nodes, block = (group.column(c).to_numpy()[order] for c in ("node", "block"))
         x = _matrix(group.column("bytes"), np.uint8)[order]
         left, right = (np.flatnonzero(block == group.column(c)[0].as_py()) for c in ("i", "j"))
         hits = [right[(x[right] == x[k]).mean(1, dtype=np.float32) >= low] for k in left]
-        least = _local_least(len(nodes), np.repeat(left, [len(h) for h in hits]), np.concatenate([*hits, np.empty(0, int)]))
+        least = local_least(len(nodes), np.repeat(left, [len(h) for h in hits]), np.concatenate([*hits, np.empty(0, int)]))
         moved = np.flatnonzero(least != np.arange(len(nodes)))
         yield pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], names=["a", "b"])
 
@@ -290,28 +252,10 @@ def _sets():
     return work
 
 
-def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each of x with each of y."""
-    if len(x) * len(y) <= 64:
-        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in y] for a in x]).reshape(len(x), len(y))
-    _, places, counts = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
-    shared = np.cumsum(counts > 1) - 1  # a shingle of one set only adds to no intersection
-    rows = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
-    use = counts[places] > 1
-    rows, columns, width = rows[use], shared[places[use]], int(shared[-1]) + 1 if len(shared) else 0
-    out = np.zeros((len(x), len(y)), np.float32)
-    for at in range(0, width, 8192):
-        m = np.zeros((len(x) + len(y), min(8192, width - at)), np.float32)
-        here = (columns >= at) & (columns < at + 8192)
-        m[rows[here], columns[here] - at] = 1
-        out += m[: len(x)] @ m[len(x) :].T
-    return out.astype(int)
-
-
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each pair of blocks of a component: every node's links in it (weighed by copies), and the
     least node it is connected to there."""
-    for group in _grouped(batches, ["label", "i", "j"]):
+    for group in grouped(batches, ["label", "i", "j"]):
         node, copies, block = (group.column(c).to_numpy() for c in ("node", "copies", "block"))
         sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
         order = np.argsort(node)
@@ -332,7 +276,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.empty(len(node), int)
         place[order] = np.arange(len(node))
         a, b = np.nonzero(linked)
-        least = _local_least(len(node), place[left[a]], place[right[b]])
+        least = local_least(len(node), place[left[a]], place[right[b]])
         yield pa.record_batch([pa.array(node[order]), pa.array(node[order][least]), pa.array(degree[order])], names=["node", "least", "links"])
 
 

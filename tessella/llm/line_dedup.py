@@ -1,35 +1,53 @@
 """Fuzzy line deduplication by MinHash (operator 4).
 
 Lines are compared trimmed and in lower case, as sets of SHINGLE characters. Signatures of
-BANDS * ROWS minima are cut into bands; lines that agree on a band meet in a bucket. In each bucket
-the least key is the pivot, and every other line is compared with it by exact Jaccard similarity.
-Distributed union-find joins these links; a line that isn't in its pivot's component then meets the
-bucket's lines of other components, so no link between components is missed and lines of one
-component are never paired. Of each component the first line (by document id, then place) stays.
+BANDS * ROWS minima are cut into bands; lines that agree on a band meet in a bucket. Buckets with the
+same lines are worked on once. Then, always by exact Jaccard similarity:
+
+- In each bucket the least key is the pivot, and every other line is compared with it. Distributed
+  union-find joins these links.
+- Where a bucket's lines still belong to several components, those outside the pivot's component
+  ("apart") meet the bucket's other lines, in blocks of BLOCK lines of which one at least is a block
+  of lines apart. So no link is missed, and lines of the pivot's component never meet each other. The
+  cost is the lines apart times the bucket's lines, a matrix product for each pair of blocks.
+
+Union-find over both kinds of links gives the components. Of each component the first line (by
+document id, then place) stays.
 
 A pair at the threshold meets in some band with probability 1 - (1 - 0.8**ROWS)**BANDS, 0.996; above
-it the chance is higher.
+it the chance is higher. No bucket is cut or left out, so that is the recall.
 
 Defined cases: null text is empty; blank lines always stay and never match; equal lines match, also
-those shorter than a shingle, which only equal lines do; repeated rows and ids are documents of their
-own (the first keeps its lines); an empty table gives an empty result; other columns are carried
-along. Lines are keyed by 64-bit hashes.
+those shorter than a shingle, which only equal lines do; a null id is the least; repeated rows and ids
+are documents of their own (the first keeps its lines); an empty table gives an empty result; other
+columns are carried along. Lines are keyed by 64-bit hashes. Rows are told apart by file and place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_pass, materialize
+from tessella.llm.common import arrow_pass, drop_table, grouped, join_counted, local_least, located, materialize, overlaps
 from tessella.llm.components import components
 
 SHINGLE, THRESHOLD = 6, 0.8
 ROWS, BANDS = 5, 14
 #: Keys a task remembers so as not to sign a repeated line again.
 REMEMBERED = 500_000
+#: A band that this many of a slice's lines share is dealt over PARTS tasks.
+SLICE, HOT, PARTS = 2048, 64, 64
+#: Lines of a block where lines apart meet the rest of a bucket.
+BLOCK = 256
+#: Codes signed at a time, so that temporary arrays stay in the cache.
+SIGNED = 1 << 16
+#: Bits of the filter that keeps most lines out of a shuffle: 8 MB whatever the number of lines. A
+#: full filter only keeps out less.
+FILTER_BITS = 1 << 26
 _A = np.random.default_rng(7).integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint32) | 1
 _B = np.random.default_rng(8).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -40,15 +58,16 @@ def normal(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, line_no, norm of every line that isn't blank."""
-    exploded = docs.select("rid", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return exploded.select("rid", "doc_id", "line_no", normal(F.col("line")).alias("norm")).where(F.length("norm") > 0).withColumn("key", F.xxhash64("norm"))
+    """loc, doc_id, line_no, norm, key of every line that isn't blank."""
+    exploded = docs.select("loc", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    return exploded.select("loc", "doc_id", "line_no", normal(F.col("line")).alias("norm")).where(F.length("norm") > 0).withColumn("key", F.xxhash64("norm"))
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """(len(lines), ROWS * BANDS) minima over each line's shingles; no line is empty."""
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all lines, one after the other, and each line's end; the last
+    SHINGLE - 1 places of a line belong to no shingle of it."""
     lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    sizes = np.array([len(x) for x in lines])
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
     n = len(codes) - SHINGLE + 1
     h = np.zeros(n, np.uint64)
@@ -56,14 +75,28 @@ def signatures(lines: list[str]) -> np.ndarray:
         for k in range(SHINGLE):
             h = (h + codes[k : k + n]) * _BASE
         h ^= h >> np.uint64(29)
-        s = ((h * _MIX) >> np.uint64(32)).astype(np.uint32)
-        ends = np.cumsum(sizes)
-        cuts = np.empty(2 * len(lines), np.int64)
-        cuts[::2], cuts[1::2] = ends - sizes, ends - SHINGLE + 1
-        cuts = cuts[:-1]  # what follows the last line's shingles is nothing
-        out = np.empty((len(lines), ROWS * BANDS), np.uint32)
-        for k in range(ROWS * BANDS):
-            out[:, k] = np.minimum.reduceat((s ^ _B[k]) * _A[k], cuts)[::2]
+        return h * _MIX, ends
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """(len(lines), ROWS * BANDS) minima over each line's shingles; no line is empty."""
+    h, ends = _hashes(lines)
+    s = (h >> np.uint64(32)).astype(np.uint32)
+    starts = np.concatenate([[0], ends[:-1]])
+    out, at = np.empty((len(lines), ROWS * BANDS), np.uint32), 0
+    with np.errstate(over="ignore"):
+        while at < len(lines):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + SIGNED, "right")))
+            own = s[starts[at] : ends[to - 1] - SHINGLE + 1]
+            cuts = np.empty(2 * (to - at), np.int64)
+            cuts[::2], cuts[1::2] = starts[at:to] - starts[at], ends[at:to] - SHINGLE + 1 - starts[at]
+            cuts = cuts[:-1]  # what follows the last line's shingles is nothing
+            work, minima = np.empty_like(own), np.empty((ROWS * BANDS, to - at), np.uint32)
+            for k in range(ROWS * BANDS):
+                np.multiply(np.bitwise_xor(own, _B[k], out=work), _A[k], out=work)
+                minima[k] = np.minimum.reduceat(work, cuts)[::2]
+            out[at:to] = minima.T
+            at = to
     return out
 
 
@@ -91,7 +124,16 @@ def _banded():
         seen.update(fresh)
         bands = band_hashes(signatures(list(fresh.values()))).ravel() if fresh else np.empty(0, np.int64)
         keys = np.repeat(np.fromiter(fresh, np.int64, len(fresh)), BANDS)
-        return pa.record_batch([pa.array(bands), pa.array(keys)], names=["band", "key"])
+        part = np.zeros(len(bands), np.int32)
+        found, counts = np.unique(bands, return_counts=True)
+        if len(found) and counts.max() > HOT:
+            hot = np.isin(bands, found[counts > HOT])
+            part[hot] = 1 + keys[hot] % PARTS
+            # One line of each hot band stands for it among the rows that are dealt by band alone.
+            _, first = np.unique(bands[hot], return_index=True)
+            bands, keys, part = (np.concatenate([x, x[hot][first]]) for x in (bands, keys, part))
+            part[len(part) - len(first) :] = 0
+        return pa.record_batch([pa.array(bands), pa.array(keys), pa.array(part, pa.int32())], names=["band", "key", "part"])
 
     return work
 
@@ -101,72 +143,167 @@ def shingles(line: str) -> set[str]:
 
 
 def similarity(a: str, b: str) -> float:
+    """The definition; _sets() and _enough() compute the same on hashes."""
     x, y = shingles(a), shingles(b)
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
 
+def _sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line."""
+    h, ends = _hashes(lines)
+    out, at = [], 0
+    for end in ends.tolist():
+        own = np.sort(h[at : end - SHINGLE + 1])
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        at = end
+    return out
+
+
+def _enough(both, x, y, threshold: float):
+    """both / (x + y - both) >= threshold, on integers."""
+    return both * 1000 >= round(threshold * 1000) * (x + y - both)
+
+
 def _verify(threshold: float):
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
-            ok = [similarity(x, y) >= threshold for x, y in zip(a, b, strict=True)]
-            return pa.record_batch([batch.column("key"), batch.column("pivot"), pa.array(ok, pa.bool_())], names=["key", "pivot", "ok"])
+            a, b = (_sets(batch.column(c).to_pylist()) for c in ("line_a", "line_b"))
+            ok = []
+            for x, y in zip(a, b, strict=True):
+                s = np.concatenate([x, y])
+                s.sort()
+                ok.append(bool(_enough(int(np.count_nonzero(s[1:] == s[:-1])), len(x), len(y), threshold)))
+            return pa.record_batch([batch.column("key"), batch.column("pivot")], names=["key", "pivot"]).filter(pa.array(ok, pa.bool_()))
 
         return work
 
     return make
 
 
-def _checked(pairs: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
-    """pairs (key, pivot) with ok: whether the lines are as similar as the threshold asks."""
-    a, b = (text.select(F.col("key").alias(k), F.col("norm").alias(n)) for k, n in (("key", "line_a"), ("pivot", "line_b")))
-    return materialize(arrow_pass(pairs.join(a, "key").join(b, "pivot"), _verify(threshold), "key long, pivot long, ok boolean", rows=1024), "checked")
+def _buckets(lines: DataFrame) -> DataFrame:
+    """band, key, pivot of the lines that share a band with another; of buckets with the same
+    lines one."""
+    bands = arrow_pass(lines.select("key", "norm"), _banded, "band long, key long, part int", rows=SLICE)
+    # A running minimum: rows stream by in order of their keys, and one shuffle serves all columns.
+    least = F.min("key").over(Window.partitionBy("band", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = materialize(bands.withColumn("least", least).where("key <> least or part > 0").select("band", "key", "least").distinct(), "bands")
+    members = materialize(rows.select("band", "key").unionAll(rows.select("band", F.col("least").alias("key"))).distinct(), "members")
+    drop_table(rows)
+    digest = lambda salt: F.bit_xor(F.xxhash64("key", F.lit(salt)))
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("pivot"), digest(1).alias("x"), digest(2).alias("y")).where("n > 1")
+    once = sizes.groupBy("n", "pivot", "x", "y").agg(F.min("band").alias("band")).select("band", "pivot", "n")
+    out = materialize(join_counted(members, "band", once, members.count()), "buckets")
+    drop_table(members)
+    return out
+
+
+def _texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, norm of the wanted keys. A filter of fixed size keeps most other lines out of the shuffle."""
+    bit = F.pmod("key", F.lit(FILTER_BITS)) + 1
+    place = {"word": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)}
+    bits = wanted.withColumns(place).groupBy("word").agg(F.bitmap_construct_agg("at").alias("bits"))  # FILTER_BITS / 8 bytes at most
+    byte = F.conv(F.hex(F.substring("bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = lines.select("key", "norm").withColumns(place).join(F.broadcast(bits), "word").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) > 0)
+    return held.groupBy("key").agg(F.first("norm").alias("norm")).join(wanted.hint("shuffle_hash"), "key", "left_semi")
+
+
+def _met(threshold: float):
+    """Links between labels in each pair of blocks of a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a_out, b_out = [], []
+        for group in grouped(batches, ["band", "i", "j"]):
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            block, label = group.column("block").to_numpy(), group.column("label").to_numpy()
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            if j == i + 1:
+                right = np.concatenate([right, left])  # within the block of lines apart, once
+            if not len(left) or not len(right):
+                continue
+            sets = _sets(group.column("norm").to_pylist())
+            sizes = np.array([len(s) for s in sets])
+            both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+            linked = _enough(both, sizes[left][:, None], sizes[right][None, :], threshold) & (label[left][:, None] != label[right][None, :])
+            x, y = np.nonzero(linked)
+            if len(x):
+                names, places = np.unique(label, return_inverse=True)
+                least = local_least(len(names), places[left[x]], places[right[y]])
+                moved = np.flatnonzero(least != np.arange(len(names)))
+                a_out += names[moved].tolist()
+                b_out += names[least[moved]].tolist()
+            if len(a_out) >= 4096:
+                yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                a_out, b_out = [], []
+        if a_out:
+            yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _apart(buckets: DataFrame, label: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between components, found where a bucket holds lines of several."""
+    named = buckets.join(label.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    own = named.groupBy("band").agg(F.count("*").alias("n"), F.max(F.when(F.col("key") == F.col("pivot"), F.col("label"))).alias("home"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    total = buckets.count()
+    several = materialize(join_counted(named.select("band", "key", "label"), "band", own.select("band", "n", "home"), total).withColumn("apart", F.col("label") != F.col("home")).drop("home"), "apart")
+    blocks = lambda c: F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("int")
+    counts = several.groupBy("band").agg(F.count("*").alias("n"), blocks(F.col("apart")).alias("x"), blocks(~F.col("apart")).alias("y"))
+    dealt = join_counted(several, "band", counts, total)
+    dealt = dealt.withColumn("block", F.when(F.col("apart"), F.pmod(F.xxhash64("key"), "x")).otherwise(F.col("x") + F.pmod(F.xxhash64("key"), "y")).cast("int"))
+    # Every block of lines apart meets every other block; blocks of the pivot's component only those.
+    last = F.when(F.col("apart"), F.col("x") + F.col("y")).otherwise(F.col("x")) - 1
+    met = dealt.join(text, "key").withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("other <> block")
+    met = met.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "norm")
+    links = materialize(met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_met(threshold), "a long, b long"), "links")
+    drop_table(several)
+    return links
 
 
 def classes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, label) of each key in a component of two or more. lines: key, norm."""
-    bands = arrow_pass(lines.select("key", "norm"), _banded, "band long, key long", rows=2048)
-    # A running minimum: rows stream by in order of their keys, and one shuffle serves both columns.
-    pivot = F.min("key").over(Window.partitionBy("band").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = materialize(bands.withColumn("pivot", pivot).where("key <> pivot").distinct(), "buckets")
-    wanted = rows.select("key").unionAll(rows.select(F.col("pivot").alias("key"))).distinct()
-    text = materialize(lines.select("key", "norm").join(wanted.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]), "lines")
-    ok = _checked(rows.select("key", "pivot").distinct(), text, threshold).where("ok")
-    label = materialize(components(ok, "key", "pivot"), "labels")
-    # A bucket's line that is in another component than its pivot may still be linked to some other
-    # line there: it meets all of those that aren't in its own component.
-    of = lambda df, key, name: df.join(label.select(F.col("node").alias(key), F.col("label").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
-    named = of(of(rows, "key", "label"), "pivot", "pivot_label")
-    apart = named.where("label <> pivot_label").select("band", F.col("key").alias("x"), F.col("label").alias("x_label"))
-    cross = apart.join(named.select("band", "key", "label"), "band").where("x <> key and x_label <> label").select(F.greatest("x", "key").alias("key"), F.least("x", "key").alias("pivot")).distinct()
-    more = _checked(cross, text, threshold).where("ok")
-    if more.isEmpty():
-        return label
-    return components(ok.unionAll(more), "key", "pivot")
+    """(node, label) of each key in a component of two or more, as a table. lines: key, norm."""
+    buckets = _buckets(lines)
+    text = materialize(_texts_of(lines, buckets.select("key").distinct()), "lines")
+    pairs = buckets.where("key <> pivot").select("key", "pivot").distinct()
+    pivots = pairs.groupBy("pivot").agg(F.count("*").alias("n")).join(text.select(F.col("key").alias("pivot"), F.col("norm").alias("line_b")), "pivot")
+    both = join_counted(pairs.join(text.select("key", F.col("norm").alias("line_a")), "key"), "pivot", pivots, buckets.count())
+    ok = materialize(arrow_pass(both, _verify(threshold), "key long, pivot long", rows=512), "checked")
+    label = components(ok, "key", "pivot")
+    more = _apart(buckets, label, text, threshold)
+    if not more.isEmpty():
+        label = components(label.select("node", "label").unionAll(more.toDF("node", "label")), "node", "label")
+    for done in (buckets, text, ok, more):
+        drop_table(done)
+    return label
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, n_lines, dropped (places of the lines that go) of each document. rid numbers the
-    rows of docs; docs must be read from files, so that it's the same in every pass."""
-    plain = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """loc, doc_id, n_lines, dropped (places of the lines that go) of each document."""
+    return _dropped(located(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), threshold)
+
+
+def _dropped(plain: DataFrame, threshold: float) -> DataFrame:
     lines = _lines(plain)
     label = classes(lines, threshold).withColumnRenamed("node", "key")
-    places = materialize(lines.select("rid", "doc_id", "line_no", "key"), "places")
-    named = materialize(places.join(label, "key", "left").select("rid", F.struct("doc_id", "rid", "line_no").alias("place"), F.coalesce("label", "key").alias("label")), "labelled")
-    first = named.groupBy("label").agg(F.min("place").alias("place")).select("place.rid", "place.line_no").withColumn("stays", F.lit(True))
-    # By place and not by label: a line with very many copies is dealt to many tasks.
-    gone = named.select("rid", F.col("place.line_no").alias("line_no")).join(first, ["rid", "line_no"], "left_anti")
-    lists = gone.groupBy("rid").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"))
-    n_lines = plain.select("rid", "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
-    return n_lines.join(lists, "rid", "left").select("rid", "doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    # Copies of a line are summed before the shuffle; only lines in a component meet by label.
+    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "loc", "line_no")).alias("place")).join(label.hint("shuffle_hash"), "key", "left")
+    alone = firsts.where("label is null").select("place")
+    least = firsts.where("label is not null").groupBy("label").agg(F.min("place").alias("place")).select("place")
+    stay = alone.unionAll(least).groupBy("place.loc").agg(F.collect_list("place.line_no").alias("stay"))
+    split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    filled = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(F.trim(F.element_at("lines", i + 1))) > 0)
+    own = plain.select("loc", "doc_id", split.alias("lines")).select("loc", "doc_id", F.size("lines").alias("n_lines"), filled.alias("filled"))
+    found = own.join(stay, "loc", "left")
+    return found.select("loc", "doc_id", "n_lines", F.when(F.col("stay").isNull(), F.col("filled")).otherwise(F.array_except("filled", "stay")).alias("dropped"))
 
 
 def apply(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the dropped lines gone from `text`; every row stays. All columns are kept."""
-    gone = dedup(docs, threshold).where(F.size("dropped") > 0).select("rid", "dropped")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")).join(gone, "rid", "left")
+    rows = located(docs, F.struct("*").alias("row"))
+    plain = rows.select("loc", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    gone = _dropped(plain, threshold).where(F.size("dropped") > 0).select("loc", "dropped")
+    kept = rows.join(gone, "loc", "left")
     lines = F.split("row.text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
     text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
-    return rows.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    return kept.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

@@ -1,6 +1,10 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessella.llm import line_dedup as ld
+from tessella.llm.common import located
 from tessella.llm.components import components
 
 
@@ -50,22 +54,39 @@ def made(seed, n):
     return docs
 
 
-def test_equals_brute_force(spark, tmp_path):
-    rows = made(5, 120) + [(500, None), (501, ""), (502, "ab"), (503, "AB \n\nab"), (3, "ab"), (504, "same " * 9), (504, "same " * 9)]
-    spark.createDataFrame(rows, "doc_id long, text string").withColumnsRenamed({}).coalesce(3).selectExpr("doc_id", "text", "1 as rid", "'x' as dropped", "2 as line_no").write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    found = ld.dedup(docs).collect()
-    order = {r.rid: r for r in found}
-    text = {r["_r"]: r.text for r in docs.selectExpr("monotonically_increasing_id() as _r", "text").collect()}
-    places = sorted((r.doc_id, r.rid, k, x.strip().lower()) for r in found for k, x in enumerate((text[r.rid] or "").split("\n")) if x.strip())
+def wanted(found, text):
+    """The places that go by comparing all distinct lines with each other, by loc."""
+    places = sorted(((r.doc_id is not None, r.doc_id or 0), r.loc, k, x.strip().lower()) for r in found for k, x in enumerate((text[r.loc] or "").split("\n")) if x.strip())
     distinct = sorted({p[3] for p in places})
     edges = [(i, j) for i in range(len(distinct)) for j in range(i) if ld.similarity(distinct[i], distinct[j]) >= 0.8]
     label = brute_components(range(len(distinct)), edges)
     index, kept, gone = {x: k for k, x in enumerate(distinct)}, set(), {}
-    for _, rid, k, x in places:
+    for _, loc, k, x in places:
         if label[index[x]] in kept:
-            gone.setdefault(rid, []).append(k)
+            gone.setdefault(loc, []).append(k)
         kept.add(label[index[x]])
+    return gone, edges
+
+
+def texts_by_loc(docs):
+    return {r["loc"]: r.text for r in located(docs, F.col("text")).collect()}
+
+
+@pytest.mark.parametrize("block,hot", [(256, 64), (3, 2)])
+def test_equals_brute_force(spark, tmp_path, monkeypatch, block, hot):
+    monkeypatch.setattr(ld, "BLOCK", block)
+    monkeypatch.setattr(ld, "HOT", hot)
+    rows = made(5, 120) + [(500, None), (501, ""), (502, "ab"), (503, "AB \n\nab"), (3, "ab"), (504, "same " * 9), (504, "same " * 9), (None, "same " * 9)]
+    # Lines unlike the least of their bucket, which are alike among each other.
+    r = random.Random(9)
+    base = "".join(r.choices("abcdefghijklmnop ", k=300))
+    rows += [(600 + k, base[: 3 * k] + "".join(r.choices("qrstuvw", k=9)) + base[3 * k + 9 :]) for k in range(0, 90, 2)]
+    rows += [(800 + k, base[: 150 + k] + "".join(random.Random(k // 2).choices("xyz01234", k=30)) + base[180 + k :]) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(3).selectExpr("doc_id", "text", "1 as rid", "'x' as dropped", "2 as line_no", "3 as loc", "4 as `row`").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    found = ld.dedup(docs).collect()
+    order, text = {r["loc"]: r for r in found}, texts_by_loc(docs)
+    gone, edges = wanted(found, text)
     assert len(edges) > 30 and {r: sorted(v) for r, v in gone.items()} == {r: list(x.dropped) for r, x in order.items() if x.dropped}
     out = ld.apply(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
@@ -73,6 +94,42 @@ def test_equals_brute_force(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
 
 
+def test_recall_in_large_buckets(spark, tmp_path):
+    """Hundreds of variants of a line whose pairs lie on both sides of the threshold: of the pairs
+    that brute force links, at least 0.99 are in one component."""
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghijkl", k=r.randint(3, 8))) for _ in range(500)]
+    base, rows = r.choices(words, k=40), []
+    for k in range(700):
+        own = list(base)
+        for _ in range(r.randint(1, 3)):
+            own[r.randrange(40)] = r.choice(words)
+        rows.append((k, " ".join(own)))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "v"))
+    lines = spark.read.parquet(str(tmp_path / "v")).selectExpr("doc_id as key", "text as norm")
+    label = {x.node: x.label for x in ld.classes(lines).collect()}
+    edges = [(i, j) for i in range(700) for j in range(i) if ld.similarity(rows[i][1], rows[j][1]) >= 0.8]
+    met = sum(i in label and label[i] == label.get(j) for i, j in edges)
+    assert len(edges) > 500 and met >= 0.99 * len(edges)
+    real = brute_components(range(700), edges)
+    assert all(real[i] == real[label[i]] for i in label)
+
+
+def test_rows_keep_their_names_when_files_are_split_otherwise(spark, tmp_path):
+    spark.createDataFrame(made(6, 300), "doc_id long, text string").repartition(3).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "s"))
+    docs = spark.read.parquet(str(tmp_path / "s"))
+    seen = []
+    for size, width in (("128m", "4"), ("2k", "4"), ("8k", "1")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", width)
+        seen.append(({(r["loc"], r.doc_id) for r in located(docs, F.col("doc_id")).collect()}, sorted((r.doc_id, tuple(r.dropped)) for r in ld.dedup(docs).collect())))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert len(seen[0][0]) == 300 and seen[0] == seen[1] == seen[2]
+    made_here = spark.range(5).selectExpr("id as doc_id", "'x' as text")
+    assert len({r["loc"] for r in located(made_here, F.col("doc_id")).collect()}) == 5
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e"))
     docs = spark.read.parquet(str(tmp_path / "e"))
