@@ -148,27 +148,45 @@ def join_counted(rows: DataFrame, on: str, table: DataFrame, n_rows: int) -> Dat
     return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(rest, on))
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Whole groups out of batches in which the rows of a group follow each other."""
+def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Places where a row's keys differ from those of the row before."""
+    columns = [batch.column(k).to_numpy() for k in keys]
+    return np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+
+
+def whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups out of batches in which the rows of a group follow each other."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
         if rest and any(rest[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
             yield pa.concat_batches(rest)
             rest = []
-        at = 0
-        for cut in change.tolist():
-            own = [*rest, batch.slice(at, cut - at)]
+        cuts = _starts(batch, keys)
+        if len(cuts):
+            own = [*rest, batch.slice(0, int(cuts[-1]))]
             yield pa.concat_batches(own) if len(own) > 1 else own[0]
-            rest, at = [], cut
-        rest.append(batch.slice(at))
+            rest = [batch.slice(int(cuts[-1]))]
+        else:
+            rest.append(batch)
     if rest:
         yield pa.concat_batches(rest)
 
 
+def bounds(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[int, int]]:
+    """The place of each group in a batch of whole groups, end exclusive."""
+    cuts = [0, *_starts(batch, keys).tolist(), batch.num_rows]
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Each group as a batch."""
+    for chunk in whole(batches, keys):
+        for a, b in bounds(chunk, keys):
+            yield chunk.slice(a, b - a)
+
+
 def local_least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least place of each place's component, for pairs of places."""
     parent = list(range(n))

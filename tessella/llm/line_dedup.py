@@ -25,29 +25,31 @@ columns are carried along. Lines are keyed by 64-bit hashes. Rows are told apart
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_pass, drop_table, grouped, join_counted, local_least, located, materialize, overlaps
+from tessella.llm.common import arrow_pass, bounds, drop_table, join_counted, local_least, located, materialize, overlaps, whole
 from tessella.llm.components import components
 
 SHINGLE, THRESHOLD = 6, 0.8
 ROWS, BANDS = 5, 14
 #: Keys a task remembers so as not to sign a repeated line again.
 REMEMBERED = 500_000
-#: A band that this many of a slice's lines share is dealt over PARTS tasks.
-SLICE, HOT, PARTS = 2048, 64, 64
+#: A band that more than HOT of a slice's lines share is dealt over 64 tasks. The low 7 bits of a band's
+#: hash are free for that: 0, or 1 and the part.
+SLICE, HOT, PART_BITS = 2048, 64, 7
 #: Lines of a block where lines apart meet the rest of a bucket.
 BLOCK = 256
-#: Codes signed at a time, so that temporary arrays stay in the cache.
-SIGNED = 1 << 16
-#: Bits of the filter that keeps most lines out of a shuffle: 8 MB whatever the number of lines. A
-#: full filter only keeps out less.
-FILTER_BITS = 1 << 26
+#: Codes signed at a time, so that temporary arrays stay in the cache, and characters of the lines whose
+#: sets are held at a time.
+SIGNED, HELD = 1 << 16, 1 << 21
+#: Words of 64 bits of the filter that keeps most texts out of a shuffle: at most so many rows of two
+#: longs, whatever the number of lines. A full filter only keeps out less.
+FILTER_WORDS = 1 << 19
 _A = np.random.default_rng(7).integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint32) | 1
 _B = np.random.default_rng(8).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -108,7 +110,7 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
         for k in range(ROWS):
             h = (h ^ parts[:, :, k]) * _MIX
             h ^= h >> np.uint64(32)
-    return h.view(np.int64)
+    return (h & ~np.uint64((1 << PART_BITS) - 1)).view(np.int64)
 
 
 def _banded():
@@ -124,16 +126,15 @@ def _banded():
         seen.update(fresh)
         bands = band_hashes(signatures(list(fresh.values()))).ravel() if fresh else np.empty(0, np.int64)
         keys = np.repeat(np.fromiter(fresh, np.int64, len(fresh)), BANDS)
-        part = np.zeros(len(bands), np.int32)
         found, counts = np.unique(bands, return_counts=True)
         if len(found) and counts.max() > HOT:
             hot = np.isin(bands, found[counts > HOT])
-            part[hot] = 1 + keys[hot] % PARTS
             # One line of each hot band stands for it among the rows that are dealt by band alone.
             _, first = np.unique(bands[hot], return_index=True)
-            bands, keys, part = (np.concatenate([x, x[hot][first]]) for x in (bands, keys, part))
-            part[len(part) - len(first) :] = 0
-        return pa.record_batch([pa.array(bands), pa.array(keys), pa.array(part, pa.int32())], names=["band", "key", "part"])
+            more = bands[hot][first], keys[hot][first]
+            bands[hot] |= 1 | (keys[hot] & ((1 << PART_BITS) - 2))
+            bands, keys = np.concatenate([bands, more[0]]), np.concatenate([keys, more[1]])
+        return pa.record_batch([pa.array(bands), pa.array(keys)], names=["slot", "key"])
 
     return work
 
@@ -160,6 +161,18 @@ def _sets(lines: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _runs(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """Places that cut a list of sizes into runs of a sum of HELD at most, or of one item."""
+    at, total, end = 0, 0, 0
+    for end, n in enumerate(sizes):
+        if total + n > HELD and end > at:
+            yield at, end
+            at, total = end, 0
+        total += n
+    if total or end >= at:
+        yield at, end + 1
+
+
 def _enough(both, x, y, threshold: float):
     """both / (x + y - both) >= threshold, on integers."""
     return both * 1000 >= round(threshold * 1000) * (x + y - both)
@@ -168,12 +181,13 @@ def _enough(both, x, y, threshold: float):
 def _verify(threshold: float):
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = (_sets(batch.column(c).to_pylist()) for c in ("line_a", "line_b"))
+            a, b = (batch.column(c).to_pylist() for c in ("line_a", "line_b"))
             ok = []
-            for x, y in zip(a, b, strict=True):
-                s = np.concatenate([x, y])
-                s.sort()
-                ok.append(bool(_enough(int(np.count_nonzero(s[1:] == s[:-1])), len(x), len(y), threshold)))
+            for at, to in _runs(len(x) + len(y) for x, y in zip(a, b, strict=True)):
+                for x, y in zip(_sets(a[at:to]), _sets(b[at:to]), strict=True):
+                    s = np.concatenate([x, y])
+                    s.sort()
+                    ok.append(bool(_enough(int(np.count_nonzero(s[1:] == s[:-1])), len(x), len(y), threshold)))
             return pa.record_batch([batch.column("key"), batch.column("pivot")], names=["key", "pivot"]).filter(pa.array(ok, pa.bool_()))
 
         return work
@@ -184,10 +198,11 @@ def _verify(threshold: float):
 def _buckets(lines: DataFrame) -> DataFrame:
     """band, key, pivot of the lines that share a band with another; of buckets with the same
     lines one."""
-    bands = arrow_pass(lines.select("key", "norm"), _banded, "band long, key long, part int", rows=SLICE)
+    bands = arrow_pass(lines.select("key", "norm"), _banded, "slot long, key long", rows=SLICE)
     # A running minimum: rows stream by in order of their keys, and one shuffle serves all columns.
-    least = F.min("key").over(Window.partitionBy("band", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = materialize(bands.withColumn("least", least).where("key <> least or part > 0").select("band", "key", "least").distinct(), "bands")
+    least = F.min("key").over(Window.partitionBy("slot").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    several = bands.withColumn("least", least).where("key <> least or slot % 2 <> 0")
+    rows = materialize(several.select(F.col("slot").bitwiseAND(F.lit(-(1 << PART_BITS))).alias("band"), "key", "least").distinct(), "bands")
     members = materialize(rows.select("band", "key").unionAll(rows.select("band", F.col("least").alias("key"))).distinct(), "members")
     drop_table(rows)
     digest = lambda salt: F.bit_xor(F.xxhash64("key", F.lit(salt)))
@@ -198,45 +213,46 @@ def _buckets(lines: DataFrame) -> DataFrame:
     return out
 
 
-def _texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, norm of the wanted keys. A filter of fixed size keeps most other lines out of the shuffle."""
-    bit = F.pmod("key", F.lit(FILTER_BITS)) + 1
-    place = {"word": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)}
-    bits = wanted.withColumns(place).groupBy("word").agg(F.bitmap_construct_agg("at").alias("bits"))  # FILTER_BITS / 8 bytes at most
-    byte = F.conv(F.hex(F.substring("bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = lines.select("key", "norm").withColumns(place).join(F.broadcast(bits), "word").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) > 0)
-    return held.groupBy("key").agg(F.first("norm").alias("norm")).join(wanted.hint("shuffle_hash"), "key", "left_semi")
+def _firsts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, place (the first of its lines), norm of each line; norm only where the filter of the wanted
+    keys takes it, and copies are summed before the shuffle, so few texts are sent."""
+    at = {"word": F.pmod("key", F.lit(FILTER_WORDS)), "bit": F.shiftright("key", 58).bitwiseAND(F.lit(63)).cast("int")}
+    one = F.expr("shiftleft(1L, bit)")
+    words = wanted.withColumns(at).groupBy("word").agg(F.bit_or(one).alias("bits"))  # FILTER_WORDS rows at most
+    named = lines.select("key", "norm", F.struct("doc_id", "loc", "line_no").alias("place")).withColumns(at).join(F.broadcast(words), "word", "left")
+    held = F.when(F.col("bits").bitwiseAND(one) != 0, F.col("norm"))
+    return named.groupBy("key").agg(F.min("place").alias("place"), F.max(held).alias("norm"))
 
 
 def _met(threshold: float):
     """Links between labels in each pair of blocks of a bucket."""
 
+    def links(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        sizes = np.array([len(s) for s in sets])
+        both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+        linked = _enough(both, sizes[left][:, None], sizes[right][None, :], threshold) & (label[left][:, None] != label[right][None, :])
+        x, y = np.nonzero(linked)
+        if not len(x):
+            return []
+        names, places = np.unique(label, return_inverse=True)
+        least = local_least(len(names), places[left[x]], places[right[y]])
+        return [(names[k], names[v]) for k, v in enumerate(least) if k != v]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_out, b_out = [], []
-        for group in grouped(batches, ["band", "i", "j"]):
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            block, label = group.column("block").to_numpy(), group.column("label").to_numpy()
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            if j == i + 1:
-                right = np.concatenate([right, left])  # within the block of lines apart, once
-            if not len(left) or not len(right):
-                continue
-            sets = _sets(group.column("norm").to_pylist())
-            sizes = np.array([len(s) for s in sets])
-            both = overlaps([sets[k] for k in left], [sets[k] for k in right])
-            linked = _enough(both, sizes[left][:, None], sizes[right][None, :], threshold) & (label[left][:, None] != label[right][None, :])
-            x, y = np.nonzero(linked)
-            if len(x):
-                names, places = np.unique(label, return_inverse=True)
-                least = local_least(len(names), places[left[x]], places[right[y]])
-                moved = np.flatnonzero(least != np.arange(len(names)))
-                a_out += names[moved].tolist()
-                b_out += names[least[moved]].tolist()
-            if len(a_out) >= 4096:
-                yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-                a_out, b_out = [], []
-        if a_out:
-            yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+        for chunk in whole(batches, ["band", "i", "j"]):
+            i, j, block, label = (chunk.column(c).to_numpy() for c in ("i", "j", "block", "label"))
+            lines, groups, found = chunk.column("norm").to_pylist(), list(bounds(chunk, ["band", "i", "j"])), []
+            for at, to in _runs(sum(map(len, lines[a:b])) for a, b in groups):
+                first = groups[at][0]
+                sets = _sets(lines[first : groups[to - 1][1]])
+                for a, b in groups[at:to]:
+                    left, right = np.flatnonzero(block[a:b] == i[a]), np.flatnonzero(block[a:b] == j[a])
+                    if j[a] == i[a] + 1:
+                        right = np.concatenate([right, left])  # within the block of lines apart, once
+                    if len(left) and len(right):
+                        found += links(sets[a - first : b - first], label[a:b], left, right)
+            x, y = zip(*found, strict=True) if found else ((), ())
+            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -260,10 +276,13 @@ def _apart(buckets: DataFrame, label: DataFrame, text: DataFrame, threshold: flo
     return links
 
 
-def classes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, label) of each key in a component of two or more, as a table. lines: key, norm."""
+def classes(lines: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (node, label) of each key in a component of two or more, and (key, place, norm) of
+    each key's first line. lines: as _lines() gives them."""
     buckets = _buckets(lines)
-    text = materialize(_texts_of(lines, buckets.select("key").distinct()), "lines")
+    wanted = buckets.select("key").distinct()
+    firsts = materialize(_firsts(lines, wanted), "firsts")
+    text = materialize(firsts.where("norm is not null").select("key", "norm").join(wanted.hint("shuffle_hash"), "key", "left_semi"), "lines")
     pairs = buckets.where("key <> pivot").select("key", "pivot").distinct()
     pivots = pairs.groupBy("pivot").agg(F.count("*").alias("n")).join(text.select(F.col("key").alias("pivot"), F.col("norm").alias("line_b")), "pivot")
     both = join_counted(pairs.join(text.select("key", F.col("norm").alias("line_a")), "key"), "pivot", pivots, buckets.count())
@@ -271,30 +290,33 @@ def classes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     label = components(ok, "key", "pivot")
     more = _apart(buckets, label, text, threshold)
     if not more.isEmpty():
+        before = label
         label = components(label.select("node", "label").unionAll(more.toDF("node", "label")), "node", "label")
+        drop_table(before)
     for done in (buckets, text, ok, more):
         drop_table(done)
-    return label
+    return label, firsts
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """loc, doc_id, n_lines, dropped (places of the lines that go) of each document."""
+    """loc, doc_id, n_lines, dropped (places of the lines that go) of each document, as a table."""
     return _dropped(located(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), threshold)
 
 
 def _dropped(plain: DataFrame, threshold: float) -> DataFrame:
-    lines = _lines(plain)
-    label = classes(lines, threshold).withColumnRenamed("node", "key")
-    # Copies of a line are summed before the shuffle; only lines in a component meet by label.
-    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "loc", "line_no")).alias("place")).join(label.hint("shuffle_hash"), "key", "left")
-    alone = firsts.where("label is null").select("place")
-    least = firsts.where("label is not null").groupBy("label").agg(F.min("place").alias("place")).select("place")
+    label, firsts = classes(_lines(plain), threshold)
+    named = firsts.select("key", "place").join(label.withColumnRenamed("node", "key").hint("shuffle_hash"), "key", "left")
+    alone = named.where("label is null").select("place")
+    least = named.where("label is not null").groupBy("label").agg(F.min("place").alias("place")).select("place")
     stay = alone.unionAll(least).groupBy("place.loc").agg(F.collect_list("place.line_no").alias("stay"))
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     filled = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(F.trim(F.element_at("lines", i + 1))) > 0)
     own = plain.select("loc", "doc_id", split.alias("lines")).select("loc", "doc_id", F.size("lines").alias("n_lines"), filled.alias("filled"))
     found = own.join(stay, "loc", "left")
-    return found.select("loc", "doc_id", "n_lines", F.when(F.col("stay").isNull(), F.col("filled")).otherwise(F.array_except("filled", "stay")).alias("dropped"))
+    out = materialize(found.select("loc", "doc_id", "n_lines", F.when(F.col("stay").isNull(), F.col("filled")).otherwise(F.array_except("filled", "stay")).alias("dropped")), "dropped")
+    drop_table(label)
+    drop_table(firsts)
+    return out
 
 
 def apply(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -106,8 +106,9 @@ def test_recall_in_large_buckets(spark, tmp_path):
             own[r.randrange(40)] = r.choice(words)
         rows.append((k, " ".join(own)))
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "v"))
-    lines = spark.read.parquet(str(tmp_path / "v")).selectExpr("doc_id as key", "text as norm")
-    label = {x.node: x.label for x in ld.classes(lines).collect()}
+    lines = ld._lines(located(spark.read.parquet(str(tmp_path / "v")), F.col("doc_id"), F.col("text")))
+    number = {x.key: x.doc_id for x in lines.select("key", "doc_id").collect()}
+    label = {number[x.node]: number[x.label] for x in ld.classes(lines)[0].collect()}
     edges = [(i, j) for i in range(400) for j in range(i) if ld.similarity(rows[i][1], rows[j][1]) >= 0.8]
     met = sum(i in label and label[i] == label.get(j) for i, j in edges)
     assert len(edges) > 300 and met >= 0.99 * len(edges)
@@ -130,6 +131,15 @@ def test_rows_keep_their_names_when_files_are_split_otherwise(spark, tmp_path):
     assert len({r["loc"] for r in located(made_here, F.col("doc_id")).collect()}) == 5
 
 
+def test_runs_cover_all(monkeypatch):
+    monkeypatch.setattr(ld, "HELD", 10)
+    r = random.Random(1)
+    for n in (1, 2, 50):
+        sizes = [r.randint(0, 14) for _ in range(n)]
+        runs = list(ld._runs(sizes))
+        assert [k for a, b in runs for k in range(a, b)] == list(range(n)) and all(b - a == 1 or sum(sizes[a:b]) <= 10 for a, b in runs)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e"))
     docs = spark.read.parquet(str(tmp_path / "e"))
