@@ -156,14 +156,14 @@ def from_ipc(raw: bytes) -> pa.Table:
 
 
 def _feature(batch: pa.RecordBatch, mel: np.ndarray, spans: list[tuple[int, int]]) -> str:
-    """A short account of the tensors: shape, mean by band (8 groups of 5) and the segments."""
+    """An account of the tensors: shape, mean by band (8 groups of 5), all segments and their number."""
     bands = mel.mean(0).reshape(8, -1).mean(1)
     shape = "x".join(map(str, (batch.num_rows, WINDOW, MELS)))
-    return f"{shape};" + ",".join(f"{v:.2f}" for v in bands) + ";" + ",".join(f"{a}-{b}" for a, b in spans[:64]) + f";{len(spans)}"
+    return f"{shape};" + ",".join(f"{v:.2f}" for v in bands) + ";" + ",".join(f"{a}-{b}" for a, b in spans) + f";{len(spans)}"
 
 
 #: What featurize() can return per row.
-OUTPUTS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "media": pa.binary(), "tensors": pa.binary(), "spans": pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))}
+OUTPUTS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "n_tensors": pa.int64(), "tensors_sha256": pa.string(), "media": pa.binary(), "tensors": pa.binary(), "spans": pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))}
 _SQL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 
@@ -178,8 +178,9 @@ def _row(text: str, outputs: tuple[str, ...]) -> dict:
     row = {"n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": _feature(batch, mel, spans)}
     if "media" in outputs:
         row["media"] = media
-    if "tensors" in outputs:
+    if "tensors" in outputs or "tensors_sha256" in outputs:
         row["tensors"] = to_ipc(batch)
+        row["n_tensors"], row["tensors_sha256"] = batch.num_rows, hashlib.sha256(row["tensors"]).hexdigest()
     if "spans" in outputs:
         row["spans"] = [{"start_s": a * HOP / TARGET_HZ, "end_s": b * HOP / TARGET_HZ} for a, b in spans]
     return row

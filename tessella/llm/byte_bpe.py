@@ -19,12 +19,16 @@ SPECIAL = {"<|endoftext|>": 50256}
 LONG_RUN = re.compile(r"\s{5000}|\S{50000}")
 
 
-def tokenizer_digest(name: str = "byte_bpe_50k.json") -> str:
-    """Identifies the tokenizer in stored results: SHA-256 over its file and this rule set."""
+def tokenizer_digest(name: str = "byte_bpe_50k") -> str:
+    """Identifies the tokenizer in stored results: SHA-256 over both files that ids come from, the
+    pattern that splits texts and this rule set."""
     import public_tokenizers
 
-    with open(public_tokenizers.path(name), "rb") as f:
-        return hashlib.sha256(f.read() + b"|no added ids, special strings by default").hexdigest()
+    got = hashlib.sha256(f"{public_tokenizers.PATTERN}|no added ids, special strings by default".encode())
+    for kind in ("tiktoken", "json"):
+        with open(public_tokenizers.path(f"{name}.{kind}"), "rb") as f:
+            got.update(hashlib.sha256(f.read()).digest())
+    return got.hexdigest()
 
 
 class ByteBpe:

@@ -21,7 +21,8 @@ texts. That gives each node's links and the classes.
 
 Defined cases: null text and texts without a word have no set, match nothing and form a class of
 their own; repeated rows match each other; an empty table gives an empty result; documents are told
-apart by row, so a repeated id is no trouble; other columns are ignored (kept by apply()).
+apart by file and place, so a repeated id is no trouble; a null id is the least of its class; other
+columns are ignored (kept by apply()).
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def _sketch():
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             sketch.append(e.tobytes())
             paths.append(chosen(_ROOTS, np.broadcast_to(e, (RUNS, TOKENS)))[0].view(np.int64))
-        return pa.record_batch([batch.column("rid"), batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], names=["rid", "doc_id", "digest", "size", "sketch", "paths"])
+        return pa.record_batch([batch.column("loc"), batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], names=["loc", "doc_id", "digest", "size", "sketch", "paths"])
 
     return work
 
@@ -207,7 +208,7 @@ def _blocks(large: DataFrame, few: DataFrame) -> DataFrame:
     BLOCK nodes meet, but for those of nodes near the pivot, which are linked through it."""
     count = lambda c: F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("int")
     counts = large.groupBy("path").agg(F.count("*").alias("n"), count(~F.col("near")).alias("far"), count(F.col("near")).alias("close")).where("far > 0")
-    dealt = join_counted(large.select("path", "node", "near"), "path", counts, 0)
+    dealt = join_counted(large.select("path", "node", "near"), "path", counts, large.count())
     dealt = dealt.withColumn("block", F.when(F.col("near"), F.col("far") + F.pmod(F.xxhash64("node"), "close")).otherwise(F.pmod(F.xxhash64("node"), "far")).cast("int"))
     last = F.when(F.col("near"), F.col("far")).otherwise(F.col("far") + F.col("close")) - 1
     pairs = dealt.join(few, "node").withColumn("other", F.explode(F.sequence(F.lit(0), last)))
@@ -215,31 +216,36 @@ def _blocks(large: DataFrame, few: DataFrame) -> DataFrame:
     return pairs.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_met, "a long, b long")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): links of the embedding, enough to connect each component of candidates."""
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): links of the embedding, enough to connect each component of candidates; and the
+    tables that they are read from."""
     few = nodes.select("node", "bytes")
-    state, found = nodes.select("node", F.explode("paths").alias("path")), []
+    state, found, tables = nodes.select("node", F.explode("paths").alias("path")), [], []
     for level in range(1, LEVELS + 1):
         sizes = state.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").withColumn("size", F.col("n"))
-        rows = materialize(join_counted(state, "path", sizes, 0), "paths")
+        rows = materialize(join_counted(state, "path", sizes, state.count()), "paths")
         small = rows.where(F.col("size") <= BUCKET).select("path", "node")
         met = small.join(few, "node").repartition("path").sortWithinPartitions("path")
         found.append(materialize(met.mapInArrow(_brute, "a long, b long"), "links"))
+        tables.append(found[-1])
         large = rows.where(F.col("size") > BUCKET).select("path", "node", "pivot")
         if large.isEmpty():
+            drop_table(rows)
             break
         own = nodes.select("node", "sketch")
         compared = large.join(own, "node").join(own.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
         after = materialize(arrow_pass(compared, _large, "path long, node long, pivot long, near boolean, paths array<long>", rows=1024), "large")
+        tables.append(after)
         found.append(after.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         if level == LEVELS:
             found.append(materialize(_blocks(after, few), "links"))
+            tables.append(found[-1])
         state = after.select("node", F.explode("paths").alias("path"))
         drop_table(rows)
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
-    return out
+    return out, tables
 
 
 def _sets():
@@ -281,37 +287,46 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, class_id, n_links, first (whether the row is its class's least by id) of each
-    document. class_id: the least id of its class. n_links: how many other documents have a
-    similarity of at least the threshold with it. docs must be read from files, so that rid, the
-    row's number, is the same in each pass."""
-    plain = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(arrow_pass(plain, _sketch, "rid long, doc_id long, digest binary, size int, sketch binary, paths array<long>"), "sketches")
+    """loc, doc_id, class_id, n_links, first (whether the row is its class's least by id) of each
+    document, as a table. class_id: the least id of its class. n_links: how many other documents
+    have a similarity of at least the threshold with it. loc names the row of docs, see located()."""
+    return _join(located(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+
+
+def _join(plain: DataFrame) -> DataFrame:
+    sketches = arrow_pass(plain, _sketch, "loc struct<f:long,r:long>, doc_id long, digest binary, size int, sketch binary, paths array<long>")
+    # Rows are numbered once, in the table that every later pass reads.
+    rows = materialize(sketches.withColumn("rid", F.monotonically_increasing_id()), "sketches")
     n_rows = rows.count()
     same = materialize(rows.where("size > 0").groupBy("digest").agg(F.min("rid").alias("node"), F.count("*").alias("n"), F.min(F.struct("doc_id", "rid")).alias("best")), "sets")
     # The embedding's low bytes are enough for brute force.
     low = F.expr("array_join(transform(sequence(0, 127), k -> substr(hex(sketch), 8 * k + 1, 2)), '')")
-    nodes = materialize(rows.select(F.col("rid").alias("node"), "sketch", "paths").join(same.select("node"), "node", "left_semi").withColumn("bytes", F.unhex(low)), "nodes")
-    label = components(_candidates(nodes))
+    nodes = materialize(rows.select(F.col("rid").alias("node"), "loc", "sketch", "paths").join(same.select("node"), "node", "left_semi").withColumn("bytes", F.unhex(low)), "nodes")
+    links, tables = _candidates(nodes)
+    label = components(links)
 
     counts = label.groupBy("label").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = join_counted(label, "label", counts, n_rows).join(same.select("node", F.col("n").alias("copies")), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    texts = plain.select(F.col("rid").alias("node"), "text").join(members.hint("shuffle_hash"), "node")
+    texts = plain.select("loc", "text").join(members.join(nodes.select("node", "loc"), "node").hint("shuffle_hash"), "loc")
     sets = arrow_pass(texts, _sets, "label long, blocks int, block int, node long, copies long, shingles binary")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
     exact = materialize(pairs.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_exact, "node long, least long, links long"), "exact")
     final = components(exact, "node", "least")
 
-    links = exact.groupBy("node").agg(F.sum("links").alias("links"))
-    known = same.join(final, "node", "left").join(links, "node", "left").select("digest", "n", "best", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    counted = exact.groupBy("node").agg(F.sum("links").alias("links"))
+    known = same.join(final, "node", "left").join(counted, "node", "left").select("digest", "n", "best", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     known = materialize(known, "known")
     heads = known.groupBy("label").agg(F.count("*").alias("n"), F.min("best").alias("head"))
     named = join_counted(known.withColumnRenamed("n", "copies"), "label", heads, n_rows).select("digest", F.col("copies").alias("n"), "head", "n_links")
-    some = join_counted(rows.where("size > 0").select("rid", "doc_id", "digest"), "digest", named, n_rows).select("rid", "doc_id", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("rid") == F.col("head.rid")).alias("first"))
-    return some.unionAll(rows.where("size = 0").select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first")))
+    some = join_counted(rows.where("size > 0").select("rid", "loc", "doc_id", "digest"), "digest", named, n_rows).select("loc", "doc_id", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("rid") == F.col("head.rid")).alias("first"))
+    out = materialize(some.unionAll(rows.where("size = 0").select("loc", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))), "classes")
+    for done in (*tables, rows, same, nodes, label, exact, final, known):
+        drop_table(done)
+    return out
 
 
 def apply(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: the one with the least id. All columns are kept."""
-    gone = join(docs).where("not first").select("rid")
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")).join(gone.hint("shuffle_hash"), "rid", "left_anti").select("row.*")
+    rows = located(docs, F.struct("*").alias("row"))
+    gone = _join(rows.select("loc", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))).where("not first").select("loc")
+    return rows.join(gone.hint("shuffle_hash"), "loc", "left_anti").select("row.*")

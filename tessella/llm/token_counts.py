@@ -2,7 +2,7 @@
 
 The cache is a Parquet table (content_digest, tokenizer_digest, n_bytes, n_tokens). A run looks the
 digests of its texts up in it, encodes one row of each digest that is missing, appends those, and
-joins every document to its count.
+joins every document to its count. The tokenizer digest covers every file that counts come from.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); repeated rows and ids each keep their
 own row; an empty table gives an empty result; other columns are ignored. A cache that holds a
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.byte_bpe import byte_bpe, tokenizer_digest
-from tessella.llm.common import arrow_pass, fresh_path, shuffles_freed, texts
+from tessella.llm.common import arrow_pass, fresh_path, located, shuffles_freed
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_bytes long, n_tokens long"
 
@@ -51,14 +51,14 @@ def token_counts(docs: DataFrame, cache_path: str | None = None, limit: int = 51
     spark = docs.sparkSession
     version = tokenizer_digest()
     path = cache_path or fresh_path(spark, "token-cache")
-    keyed = texts(docs, id_col, text_col).select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("content_digest"), F.octet_length("text").cast("long").alias("n_bytes"))
-    # One row stands for each digest: picked over digests alone, so a text with very many copies is
-    # summed before the shuffle, and its copies are dealt by (digest, id) and not to one task.
-    picked = keyed.groupBy("content_digest").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("picked"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = located(docs, F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("loc", "doc_id", "text", F.unhex(F.sha2("text", 256)).alias("content_digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+    # One row stands for each digest. It is picked over digests and places alone, so a text with very
+    # many copies is summed before the shuffle; texts are then dealt by place, not by digest.
+    picked = keyed.groupBy("content_digest").agg(F.min("loc").alias("loc"))
     if _exists(spark, path):
         picked = picked.join(read_cache(spark, path, version), "content_digest", "left_anti")
-    own = keyed.withColumn("picked", F.coalesce("doc_id", F.lit(-(2**63))))
-    misses = own.join(picked.hint("shuffle_hash"), ["content_digest", "picked"], "left_semi").select("content_digest", "n_bytes", "text")
+    misses = keyed.join(picked.select("loc").hint("shuffle_hash"), "loc", "left_semi").select("content_digest", "n_bytes", "text")
     counted = arrow_pass(misses, _encode_misses, "content_digest binary, n_bytes long, n_tokens long")
     with shuffles_freed(spark):
         counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_bytes", "n_tokens").write.mode("append").parquet(path)

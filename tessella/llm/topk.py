@@ -1,8 +1,10 @@
 """Exact top-k inner products over norm-sorted vectors (operator 10).
 
 Vectors become integers, are turned into the basis of the singular vectors of the whole table (its
-Gram matrix is summed over partitions) and are stored once by descending length. Queries pass over
-that table in blocks of bounded size. Within a task:
+Gram matrix is summed over partitions) and are stored once by descending length. Queries are a table
+dealt into blocks of about QUERY_BLOCK rows; each block passes over the stored vectors on its own and
+its result is appended to the table of results, so the driver holds one block at a time and no plan
+grows with the queries. Within a task:
 
 - rows come by descending length, so once |q| |x| falls below a query's k-th best score, nothing
   later can enter its result (Cauchy-Schwarz);
@@ -15,8 +17,9 @@ Turned coordinates are floats, so bounds carry a margin above their rounding err
 
 Defined cases: a vector that is null, empty, or holds a null or non-finite component takes no part,
 as do rows of another length than the most frequent one and rows without an id; ties go to the
-smaller id; rows that repeat an id are candidates each, but never for a query of that id; a query
-with fewer than k candidates gets all; other columns are ignored; an empty table gives no row.
+smaller id; rows that repeat an id are queries and candidates each, and only a query's own row is no
+candidate for it; a query with fewer than k candidates gets all; other columns are ignored; an empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_pass, materialize
+from tessella.llm.common import arrow_pass, drop_table, fresh_path, materialize
 
 K = 5
 #: Queries of a block and longest vectors sent with it: the broadcast is at most their bytes.
@@ -74,7 +77,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _search(q_ids: np.ndarray, q: np.ndarray, start: np.ndarray, turn: np.ndarray, k: int):
+def _search(q_rows: np.ndarray, q: np.ndarray, start: np.ndarray, turn: np.ndarray, k: int):
     """Function for the slices of one task. start: lower bounds of each query's k-th best score."""
 
     def make():
@@ -86,7 +89,7 @@ def _search(q_ids: np.ndarray, q: np.ndarray, start: np.ndarray, turn: np.ndarra
         best_i = [np.empty(0, np.int64)] * len(q)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, x = batch.column("vec_id").to_numpy(), _matrix(batch.column("x"))
+            ids, rows, x = batch.column("vec_id").to_numpy(), batch.column("row").to_numpy(), _matrix(batch.column("x"))
             length = np.sqrt((x * x).sum(1))
             out: list[list] = [[], [], []]
             live = np.flatnonzero(q_len * length.max(initial=0) * (1 + 1e-9) + 1e-6 >= floor) if len(x) else np.empty(0, int)
@@ -106,7 +109,7 @@ def _search(q_ids: np.ndarray, q: np.ndarray, start: np.ndarray, turn: np.ndarra
                     if own.start == own.stop:
                         continue
                     s, i = scores[own], ids[hit_x[own]]
-                    other = i != q_ids[j]
+                    other = rows[hit_x[own]] != q_rows[j]
                     s, i = np.concatenate([best_s[j], s[other]]), np.concatenate([best_i[j], i[other]])
                     old = len(best_s[j])
                     top = _best(s, i, k)
@@ -132,40 +135,40 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k best among
-    the rows of other ids. One pass over the stored table for each block of queries."""
+    the other rows. One pass over the stored table for each block of queries."""
     spark = vectors.sparkSession
     x = quantized(vectors, id_col, vec_col)
     length = F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e)
-    stored = materialize(x.withColumn("length2", length).repartitionByRange(F.desc("length2")).sortWithinPartitions(F.desc("length2"), "vec_id"), "norm-sorted")
-    head = stored.orderBy(F.desc("length2"), "vec_id").limit(HEAD).toArrow()
+    ordered = x.withColumn("length2", length).repartitionByRange(F.desc("length2")).sortWithinPartitions(F.desc("length2"), "vec_id")
+    stored = materialize(ordered.withColumn("row", F.monotonically_increasing_id()), "norm-sorted")  # numbered once, in the table
     schema = "query_id long, rank int, vec_id long, score long"
+    head = stored.orderBy(F.desc("length2"), "vec_id").limit(HEAD).toArrow()
     if not head.num_rows:
         return spark.createDataFrame([], schema)
     turn = rotation(stored)
-    h_ids, h = head.column("vec_id").to_numpy(), _matrix(head.column("x").combine_chunks())
-    queries = materialize(stored.where(F.col("vec_id") % every == 0).select("vec_id", "x").withColumn("place", F.monotonically_increasing_id()), "queries")
-    blocks, q_ids, q_rows = [], [], []
-
-    def run() -> None:
-        ids, q = np.array(q_ids, np.int64), np.array(q_rows, float)
-        start = np.empty(len(q))
-        for at in range(0, len(q), 512):
-            s = q[at : at + 512] @ h.T
-            s[ids[at : at + 512, None] == h_ids[None, :]] = -np.inf
-            start[at : at + 512] = np.sort(s, 1)[:, -k] if s.shape[1] >= k else -np.inf
-        found = arrow_pass(stored.select("vec_id", "x"), _search(ids, q, start, turn, k), "query long, vec_id long, score long", rows=STEP)
-        names = F.broadcast(spark.createDataFrame(list(enumerate(ids.tolist())), "query long, query_id long"))  # QUERY_BLOCK rows at most
-        blocks.append(_ranked(found, k).join(names, "query").select("query_id", "rank", "vec_id", "score"))
-
-    for row in queries.orderBy("place").toLocalIterator():
-        q_ids.append(row.vec_id)
-        q_rows.append(row.x)
-        if len(q_ids) == QUERY_BLOCK:
-            run()
-            q_ids, q_rows = [], []
-    if q_ids:
-        run()
-    out = spark.createDataFrame([], schema) if not blocks else blocks[0]
-    for b in blocks[1:]:
-        out = out.unionAll(b)
-    return out
+    h_rows, h = head.column("row").to_numpy(), _matrix(head.column("x").combine_chunks())
+    asked = stored.where(F.col("vec_id") % every == 0).select("row", "vec_id", "x")
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    queries = materialize(asked.repartition(max(blocks, 1), "row").withColumn("block", F.spark_partition_id()), "queries")
+    path = fresh_path(spark, "top-k")
+    for block in range(blocks):
+        own = queries.where(F.col("block") == block).orderBy("row").toArrow()  # about QUERY_BLOCK rows
+        if own.num_rows:
+            found = _block(stored, own, h_rows, h, turn, k)
+            found.write.mode("append").parquet(path)
+    drop_table(stored)
+    drop_table(queries)
+    return spark.read.schema(schema).parquet(path) if blocks else spark.createDataFrame([], schema)
+
+
+def _block(stored: DataFrame, own: pa.Table, h_rows: np.ndarray, h: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
+    """The result of one block of queries (row, vec_id, x)."""
+    q_rows, ids, q = own.column("row").to_numpy(), own.column("vec_id").to_numpy(), _matrix(own.column("x").combine_chunks())
+    start = np.empty(len(q))
+    for at in range(0, len(q), 512):
+        s = q[at : at + 512] @ h.T
+        s[q_rows[at : at + 512, None] == h_rows[None, :]] = -np.inf
+        start[at : at + 512] = np.sort(s, 1)[:, -k] if s.shape[1] >= k else -np.inf
+    found = arrow_pass(stored.select("vec_id", "row", "x"), _search(q_rows, q, start, turn, k), "query long, vec_id long, score long", rows=STEP)
+    names = F.broadcast(stored.sparkSession.createDataFrame(list(enumerate(ids.tolist())), "query long, query_id long"))
+    return _ranked(found, k).join(names, "query").select("query_id", "rank", "vec_id", "score")

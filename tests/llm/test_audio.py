@@ -45,8 +45,9 @@ def test_hysteresis():
 
 def test_tensors_round_trip_and_equal_rows(spark):
     text = "ab é" * 9000
-    rows = audio.featurize(spark.createDataFrame([(1, text, 5), (1, text, 6), (2, None, 7)], "doc_id long, text string, media int"), ("n_bytes", "feature", "media", "tensors", "spans")).collect()
+    rows = audio.featurize(spark.createDataFrame([(1, text, 5), (1, text, 6), (2, None, 7)], "doc_id long, text string, media int"), ("n_bytes", "feature", "n_tensors", "tensors_sha256", "media", "tensors", "spans")).collect()
     assert rows[0] == rows[1] and len(rows) == 3
+    assert all(r.tensors_sha256 == hashlib.sha256(bytes(r.tensors)).hexdigest() and r.n_tensors == audio.from_ipc(bytes(r.tensors)).num_rows for r in rows)
     table = audio.from_ipc(bytes(rows[0]["tensors"]))
     tensor = table.column("log_mel").combine_chunks()
     assert tensor.type.shape == [audio.WINDOW, audio.MELS]
@@ -54,3 +55,15 @@ def test_tensors_round_trip_and_equal_rows(spark):
     got = tensor.to_numpy_ndarray().reshape(-1, audio.MELS)[: len(mel)]
     assert np.allclose(got, mel, atol=1e-3) and rows[2]["n_bytes"] == 0
     assert hashlib.sha256(bytes(rows[2]["media"])).hexdigest() == hashlib.sha256(audio.write_wav(b"\xff" * 576)).hexdigest()
+
+
+def test_every_segment_is_told():
+    energy = np.tile(np.r_[np.zeros(4), np.full(4, -40.0)], 90)
+    spans = audio.segments(energy)
+    mel = np.zeros((len(energy), audio.MELS), "float32")
+    feature = audio._feature(audio.windows(mel), mel, spans)
+    assert len(spans) == 90 and feature.split(";")[2].count("-") == 90 and feature.endswith(";90")
+
+
+def test_empty_table(spark):
+    assert audio.featurize(spark.createDataFrame([], "doc_id long, text string"), ("feature", "tensors_sha256", "spans")).count() == 0
