@@ -39,6 +39,40 @@ def test_trees_on_fresh_samples():
     assert (taken & real).sum() / taken.sum() > 0.98 and (taken & real).sum() / real.sum() > 0.8
 
 
+def test_trees_on_samples_of_another_make():
+    trees, least = pii.model()
+    rows = pii._other_samples(3000, 77)
+    p = trees.probability(np.array([pii.features(t, s) for t, s, _ in rows]))
+    taken = np.array([q >= least[s[2]] for q, (_, s, _) in zip(p, rows, strict=True)])
+    real = np.array([y for _, _, y in rows]) == 1
+    assert (taken & real).sum() / taken.sum() > 0.96 and (taken & real).sum() / real.sum() > 0.6
+
+
+def test_spans_that_base_rules_miss():
+    """A phone number followed by a card number: the phone rule runs on through both and drops them."""
+    trees, least = pii.model()
+    text = "ever nd +1 (269) 555-3296 4524132264652876 and on"
+    assert pii.base_spans(text) == []
+    assert [text[a:b] for a, b, _ in pii.all_spans(text, [], trees, least)] == ["+1 (269) 555-3296", "4524132264652876"]
+    text = "write to Anna (AT) firm (DOT) com"
+    assert [s[2] for s in pii.all_spans(text, [], trees, least)] == ["email"]
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 12)), max_size=120), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 12)), max_size=90))
+def test_overlaps_with_few_and_many_base_spans(spans, base):
+    spans, base = ([(a, a + n, "card") for a, n in x] for x in (spans, sorted(base)))
+    assert pii.clear_of(spans, base) == [c for c in spans if not any(a < c[1] and c[0] < b for a, b, _ in base)]
+
+
+def test_very_many_spans_in_one_text():
+    trees, least = pii.model()
+    text = "jo [at] mail [dot] com, +1 (988) 555-2485 x " * 3000
+    base = pii.base_spans(text)
+    found = pii.all_spans(text, base, trees, least)
+    assert len(base) == 3000 and len(found) == 6000
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
 def test_operator_cases(spark):
     text = "call +1 (988) 555-2485 or (988) 555-2486 today, mail jo [at] mail [dot] com, v 1.2.3.400 é@é"
     docs = spark.createDataFrame([(1, text, 3), (1, text, 3), (2, None, 3), (3, "9" * 50_000 + "@" * 3, 3)], "doc_id long, text string, spans int")
