@@ -8,10 +8,12 @@ linear model over word features is fitted in numpy to the class-prior-corrected
 whose second part is stepped back when it falls below zero, which keeps the model from fitting the
 unlabelled set as if it were clean. The prior is the toxic share among labelled rows.
 
-Features are the distinct words of a text and the first 4 and 5 letters of longer ones, hashed. Those
-are kept that positives have more often by MIN_Z standard errors, and whose frequency among positives
-over that among unlabelled texts is, at the lower end of its confidence interval, at least MIN_LIFT of
-what it can be (at most MAX_FEATURES).
+Features are the distinct words of a text and, hashed with how many of its words (one, two, three) have
+them, the first 4 and 5 letters of longer ones. Those are kept that positives have more often by a
+log-likelihood ratio that less than one of all tested features would reach by chance, so the bar grows
+with the logarithm of their number and not with the table; and whose frequency among positives over
+that among unlabelled texts is, at the lower end of its confidence interval, at least MIN_LIFT of what
+it can be (at most MAX_FEATURES, the surest; each is a number that the driver holds).
 
 Bounds: the fit takes at most MAX_POSITIVES confirmed and MAX_UNLABELLED unlabelled documents, those
 with the least hash of the id; only these ids and the kept features' hits reach the driver. Scores
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,12 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_pass, texts
+from tessella.llm.common import arrow_pass, drop_table, materialize, texts
 
 FOLDS = 5
 MAX_POSITIVES, MAX_UNLABELLED = 4_000, 12_000
 BUCKETS = 1 << 20
-MAX_FEATURES, MIN_HITS, MIN_Z, SURE, MIN_LIFT = 8_192, 4, 8.0, 1.64, 0.35
+PREFIXES, COUNTS = (4, 5), (2, 3)
+MAX_FEATURES, MIN_HITS, SURE, MIN_LIFT = 8_192, 3, 1.64, 0.35
 STEPS, RATE, L2, BETA = 1000, 0.05, 1e-5, 0.02
 WORD = re.compile(r"\w+")
 
@@ -51,13 +55,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def word_features(word: str) -> tuple[int, ...]:
-    names = ["w" + word] + ["p" + word[:k] for k in (4, 5) if len(word) > k]
-    return tuple(zlib.crc32(x.encode()) % BUCKETS for x in names)
+def word_features(word: str) -> tuple[int, tuple[int, ...]]:
+    """The word's own feature, and those of its beginnings."""
+    named = lambda x: zlib.crc32(x.encode()) % BUCKETS
+    return named("w" + word), tuple(named("p" + word[:k]) for k in PREFIXES if len(word) > k)
+
+
+def counted(feature: int, n: int) -> int:
+    """The feature of n words with the same beginning."""
+    return zlib.crc32(b"%d words of %d" % (n, feature)) % BUCKETS
 
 
 def text_features(text: str) -> list[int]:
-    return sorted({f for w in set(WORD.findall(text.lower())) for f in word_features(w)})
+    found, starts = set(), Counter()
+    for w in set(WORD.findall(text.lower())):
+        own, beginnings = word_features(w)
+        found.add(own)
+        starts.update(beginnings)
+    found.update(starts)
+    found.update(counted(f, n) for n in COUNTS for f, k in starts.items() if k >= n)
+    return sorted(found)
 
 
 @dataclass
@@ -71,52 +88,86 @@ class Model:
     def scorer(self):
         kept: dict[str, tuple] = {}
         weights = self.weights
+        # Beginnings of which some count has a weight, with the weight from each count on.
+        counts: dict[int, list] = {}
+
+        def weighed(feature: int) -> bool:
+            if feature not in counts:
+                counts[feature] = [(n, weights[x]) for n in (1, *COUNTS) if (x := counted(feature, n) if n > 1 else feature) in weights]
+            return bool(counts[feature])
 
         def hits(word: str) -> tuple:
-            got = tuple((f, weights[f]) for f in word_features(word) if f in weights)
+            own, beginnings = word_features(word)
+            got = (own if own in weights else None, tuple(f for f in beginnings if weighed(f)))
             if len(kept) >= 400_000:
                 kept.clear()
-            kept[word] = got
+                counts.clear()
+                got = (got[0], tuple(f for f in beginnings if weighed(f)))
+            kept[word] = got = got if got[0] is not None or got[1] else ()
             return got
 
         def score(text: str) -> float:
             if self.bias is None:
                 return self.prior
             found: dict[int, float] = {}
+            starts: dict[int, int] = {}
             for w in set(WORD.findall(text.lower())):
                 got = kept.get(w)
                 if got is None:
                     got = hits(w)
                 if got:
-                    found.update(got)
+                    if got[0] is not None:
+                        found[got[0]] = weights[got[0]]
+                    for f in got[1]:
+                        starts[f] = starts.get(f, 0) + 1
+            for f, k in starts.items():
+                weighed(f)
+                for n, w in counts[f]:
+                    if k >= n:
+                        found[counted(f, n) if n > 1 else f] = w
             total = self.bias + sum(found[f] for f in sorted(found))
             return float(1 / (1 + np.exp(-np.clip(total, -60, 60))))
 
         return score
 
 
-def fit_nnpu(p_rows: np.ndarray, p_cols: np.ndarray, n_p: int, u_rows: np.ndarray, u_cols: np.ndarray, n_u: int, n_features: int, prior: float) -> tuple[float, np.ndarray]:
-    """Adam over the whole sample. Rows and columns are the coordinates of the features present."""
-    w = np.zeros(n_features + 1)  # the last is the bias
-    w[-1] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    softplus = lambda z: np.logaddexp(0, z)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
 
-    def forward(rows, cols, n):
+class Risk:
+    """The two parts of the risk and their gradients over a sample; rows and columns are the
+    coordinates of the features present. The last weight is the bias."""
+
+    def __init__(self, p_rows, p_cols, n_p: int, u_rows, u_cols, n_u: int, n_features: int, prior: float) -> None:
+        self.p, self.u, self.n_features, self.prior = (p_rows, p_cols, n_p), (u_rows, u_cols, n_u), n_features, prior
+
+    def _scores(self, rows, cols, n, w: np.ndarray) -> np.ndarray:
         return np.bincount(rows, w[cols], n) + w[-1]
 
-    def back(rows, cols, g):
-        return np.append(np.bincount(cols, g[rows], n_features), g.sum())
+    def _back(self, rows, cols, g: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(cols, g[rows], self.n_features), g.sum())
+
+    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """Positive part and its gradient; negative part, not yet cut at 0, and its gradient."""
+        zp, zu = self._scores(*self.p, w), self._scores(*self.u, w)
+        softplus = lambda z: np.logaddexp(0, z)
+        positive = self.prior * softplus(-zp).mean()
+        g_positive = self.prior * self._back(*self.p[:2], -_sigmoid(-zp) / self.p[2])
+        negative = softplus(zu).mean() - self.prior * softplus(zp).mean()
+        g_negative = self._back(*self.u[:2], _sigmoid(zu) / self.u[2]) - self.prior * self._back(*self.p[:2], _sigmoid(zp) / self.p[2])
+        return positive, g_positive, negative, g_negative
+
 
+def fit_nnpu(p_rows: np.ndarray, p_cols: np.ndarray, n_p: int, u_rows: np.ndarray, u_cols: np.ndarray, n_u: int, n_features: int, prior: float) -> tuple[float, np.ndarray]:
+    """Adam over the whole sample: bias and weights."""
+    risk = Risk(p_rows, p_cols, n_p, u_rows, u_cols, n_u, n_features, prior)
+    w = np.zeros(n_features + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        zp, zu = forward(p_rows, p_cols, n_p), forward(u_rows, u_cols, n_u)
-        negative = softplus(zu).mean() - prior * softplus(zp).mean()
-        g_neg = back(u_rows, u_cols, sigmoid(zu) / n_u) - prior * back(p_rows, p_cols, sigmoid(zp) / n_p)
-        if negative < -BETA:
-            g = -g_neg
-        else:
-            g = g_neg + prior * back(p_rows, p_cols, -sigmoid(-zp) / n_p)
+        _, g_positive, negative, g_negative = risk(w)
+        g = -g_negative if negative < -BETA else g_positive + g_negative
         g[:-1] += L2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -161,14 +212,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     seen = arrow_pass(sample, _hits(None), "positive boolean, row long, feature long").distinct()
     counts = seen.groupBy("feature").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    counts = materialize(counts.where(F.col("p") >= MIN_HITS), "features")
     # A feature that toxic texts alone have is 1 / prior times as frequent among positives; what can't
     # be told from a weaker one goes, or long clean texts would add such features up.
     p, u = F.col("p") + 0.5, F.col("u") + 0.5
     lift = F.log(p / n_p) - F.log(u / n_u) - SURE * F.sqrt(1 / p + 1 / u)
-    pooled = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
-    z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
+    both, n = F.col("p") + F.col("u"), n_p + n_u
+    part = lambda seen, share_of, size: F.when(seen > 0, seen * F.log(seen * n / (share_of * size))).otherwise(0.0)
+    ratio = 2 * (part(F.col("p"), both, n_p) + part(F.col("u"), both, n_u) + part(n_p - F.col("p"), n - both, n_p) + part(n_u - F.col("u"), n - both, n_u))
+    bar = 2 * float(np.log(max(counts.count(), 1)))
     least = float(np.log(MIN_LIFT / max(share, 0.01)))
-    kept = [r.feature for r in counts.where((F.col("p") >= MIN_HITS) & (z >= MIN_Z)).withColumn("lift", lift).where(F.col("lift") >= least).orderBy(F.desc("lift"), "feature").limit(MAX_FEATURES).collect()]
+    told = (F.col("p") * n_u > F.col("u") * n_p) & (ratio >= bar)
+    kept = [r.feature for r in counts.where(told).withColumn("lift", lift).where(F.col("lift") >= least).orderBy(F.desc("lift"), "feature").limit(MAX_FEATURES).collect()]
+    drop_table(counts)
     if not kept:
         return Model(share)
     place = {f: k for k, f in enumerate(sorted(kept))}
