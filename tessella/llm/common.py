@@ -138,14 +138,19 @@ HOT_ROWS, HOT_KEYS = 2_000, 100_000
 
 
 def join_counted(rows: DataFrame, on: str, table: DataFrame, n_rows: int) -> DataFrame:
-    """rows joined (inner) with a table of unique keys. table: `on`, n (the rows of each key) and
+    """rows joined (inner) with a table of unique longs. table: `on`, n (the rows of each key) and
     more. A key with very many rows is joined by a broadcast of its one table row, so they stay
-    dealt as they are; as such keys have over 2 * n_rows / HOT_KEYS rows each, at most HOT_KEYS / 2
-    are broadcast. n is dropped."""
+    dealt as they are. Such keys have over 2 * n_rows / HOT_KEYS rows each, so there are HOT_KEYS / 2
+    of them at most, whatever n_rows is; that many longs reach the driver. n is dropped. The table is
+    written first, as it is read for both."""
     bar = max(HOT_ROWS, 2 * n_rows // HOT_KEYS)
-    hot = F.broadcast(table.where(F.col("n") > bar).drop("n"))
+    table = materialize(table, "counted")
+    hot = [r[0] for r in table.where(F.col("n") > bar).select(on).collect()]
     rest = table.where(F.col("n") <= bar).drop("n")
-    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(rest, on))
+    if not hot:
+        return rows.join(rest, on)
+    few = F.broadcast(table.where(F.col("n") > bar).drop("n"))
+    return rows.where(F.col(on).isin(hot)).join(few, on).unionByName(rows.where(~F.col(on).isin(hot)).join(rest, on))
 
 
 def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:

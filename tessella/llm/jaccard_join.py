@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_pass, drop_table, grouped, join_counted, local_least, located, materialize, overlaps
+from tessella.llm.common import arrow_pass, drop_table, fresh_path, grouped, join_counted, local_least, located, materialize, overlaps, scratch
 from tessella.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -216,18 +216,16 @@ def _blocks(large: DataFrame, few: DataFrame) -> DataFrame:
     return pairs.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_met, "a long, b long")
 
 
-def _candidates(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b): links of the embedding, enough to connect each component of candidates; and the
-    tables that they are read from."""
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b): links of the embedding, enough to connect each component of candidates."""
     few = nodes.select("node", "bytes")
-    state, found, tables = nodes.select("node", F.explode("paths").alias("path")), [], []
+    state, found = nodes.select("node", F.explode("paths").alias("path")), []
     for level in range(1, LEVELS + 1):
         sizes = state.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").withColumn("size", F.col("n"))
         rows = materialize(join_counted(state, "path", sizes, state.count()), "paths")
         small = rows.where(F.col("size") <= BUCKET).select("path", "node")
         met = small.join(few, "node").repartition("path").sortWithinPartitions("path")
         found.append(materialize(met.mapInArrow(_brute, "a long, b long"), "links"))
-        tables.append(found[-1])
         large = rows.where(F.col("size") > BUCKET).select("path", "node", "pivot")
         if large.isEmpty():
             drop_table(rows)
@@ -235,17 +233,15 @@ def _candidates(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         own = nodes.select("node", "sketch")
         compared = large.join(own, "node").join(own.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
         after = materialize(arrow_pass(compared, _large, "path long, node long, pivot long, near boolean, paths array<long>", rows=1024), "large")
-        tables.append(after)
         found.append(after.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         if level == LEVELS:
             found.append(materialize(_blocks(after, few), "links"))
-            tables.append(found[-1])
         state = after.select("node", F.explode("paths").alias("path"))
         drop_table(rows)
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
-    return out, tables
+    return out
 
 
 def _sets():
@@ -294,6 +290,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _join(plain: DataFrame) -> DataFrame:
+    path = fresh_path(plain.sparkSession, "classes")
+    with scratch(plain.sparkSession):  # what is made on the way goes when the result is written
+        return materialize(_classes(plain), "classes", path=path)
+
+
+def _classes(plain: DataFrame) -> DataFrame:
     sketches = arrow_pass(plain, _sketch, "loc struct<f:long,r:long>, doc_id long, digest binary, size int, sketch binary, paths array<long>")
     # Rows are numbered once, in the table that every later pass reads.
     rows = materialize(sketches.withColumn("rid", F.monotonically_increasing_id()), "sketches")
@@ -302,8 +304,7 @@ def _join(plain: DataFrame) -> DataFrame:
     # The embedding's low bytes are enough for brute force.
     low = F.expr("array_join(transform(sequence(0, 127), k -> substr(hex(sketch), 8 * k + 1, 2)), '')")
     nodes = materialize(rows.select(F.col("rid").alias("node"), "loc", "sketch", "paths").join(same.select("node"), "node", "left_semi").withColumn("bytes", F.unhex(low)), "nodes")
-    links, tables = _candidates(nodes)
-    label = components(links)
+    label = components(_candidates(nodes))
 
     counts = label.groupBy("label").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = join_counted(label, "label", counts, n_rows).join(same.select("node", F.col("n").alias("copies")), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
@@ -319,10 +320,7 @@ def _join(plain: DataFrame) -> DataFrame:
     heads = known.groupBy("label").agg(F.count("*").alias("n"), F.min("best").alias("head"))
     named = join_counted(known.withColumnRenamed("n", "copies"), "label", heads, n_rows).select("digest", F.col("copies").alias("n"), "head", "n_links")
     some = join_counted(rows.where("size > 0").select("rid", "loc", "doc_id", "digest"), "digest", named, n_rows).select("loc", "doc_id", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("rid") == F.col("head.rid")).alias("first"))
-    out = materialize(some.unionAll(rows.where("size = 0").select("loc", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))), "classes")
-    for done in (*tables, rows, same, nodes, label, exact, final, known):
-        drop_table(done)
-    return out
+    return some.unionAll(rows.where("size = 0").select("loc", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first")))
 
 
 def apply(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_pass, bounds, drop_table, join_counted, local_least, located, materialize, overlaps, whole
+from tessella.llm.common import arrow_pass, bounds, drop_table, fresh_path, join_counted, local_least, located, materialize, overlaps, scratch, whole
 from tessella.llm.components import components
 
 SHINGLE, THRESHOLD = 6, 0.8
@@ -304,6 +304,12 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
 
 
 def _dropped(plain: DataFrame, threshold: float) -> DataFrame:
+    path = fresh_path(plain.sparkSession, "dropped")
+    with scratch(plain.sparkSession):  # what is made on the way goes when the result is written
+        return materialize(_places(plain, threshold), "dropped", path=path)
+
+
+def _places(plain: DataFrame, threshold: float) -> DataFrame:
     label, firsts = classes(_lines(plain), threshold)
     named = firsts.select("key", "place").join(label.withColumnRenamed("node", "key").hint("shuffle_hash"), "key", "left")
     alone = named.where("label is null").select("place")
@@ -313,10 +319,7 @@ def _dropped(plain: DataFrame, threshold: float) -> DataFrame:
     filled = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(F.trim(F.element_at("lines", i + 1))) > 0)
     own = plain.select("loc", "doc_id", split.alias("lines")).select("loc", "doc_id", F.size("lines").alias("n_lines"), filled.alias("filled"))
     found = own.join(stay, "loc", "left")
-    out = materialize(found.select("loc", "doc_id", "n_lines", F.when(F.col("stay").isNull(), F.col("filled")).otherwise(F.array_except("filled", "stay")).alias("dropped")), "dropped")
-    drop_table(label)
-    drop_table(firsts)
-    return out
+    return found.select("loc", "doc_id", "n_lines", F.when(F.col("stay").isNull(), F.col("filled")).otherwise(F.array_except("filled", "stay")).alias("dropped"))
 
 
 def apply(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
