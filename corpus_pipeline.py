@@ -1,8 +1,8 @@
 """A corpus pipeline of five operators, each stage over all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet
-to the shared folder and rereads it for the next stage. Rows are numbered by their files there, so
-a stage sees the same numbers in each of its passes.
+to the shared folder and rereads it for the next stage. A stage's own tables go when it is written,
+and its input when the next stage is.
 
 Defined cases: null text is kept as a document unless a stage has a reason to drop it; repeated rows
 and ids are documents of their own; an empty table passes through as empty.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import jaccard_join, line_dedup, packing, secrets, toxicity
-from tessella.llm.common import documents, materialize
+from tessella.llm.common import documents, drop_table, fresh_path, materialize, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -62,5 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, path = docs, fresh_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            docs = materialize(stage(spark, before, sf_dir), name, path=path)
+        drop_table(before)
     return docs

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as geo
 from tessella.functions import scalars as sc
-from tessella.operators import augment, balance, dataset, features, imageops, spatial, stats, tiling
+from tessella.operators import augment, balance, dataset, features, imageops, spatial, stats, tiling, variants
 from tessella.plans import adapters as fx
+from tessella.registry import ORACLE_SQL, QUERIES, query
 from tessella.sinks import writers
 from tessella.sources import labels as lb
 from tessella.sources import listing
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 SIZE, RATIO = 256, 0.3
 
 _SAMPLES = """
@@ -39,18 +38,8 @@ _TILES = _RASTERS + """,
  tiles AS (SELECT raster_id, iy * nx + ix + 1 AS tile_id, CAST(ix * 179 AS DOUBLE) AS xmin, CAST(iy * 179 AS DOUBLE) AS ymin, CAST(ix * 179 + 256 AS DOUBLE) AS xmax, CAST(iy * 179 + 256 AS DOUBLE) AS ymax FROM xs)"""
 _BOXES = """
  boxes AS (SELECT raster_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS class_id, CAST(0.5 AS DOUBLE) + l_discount * 5 AS confidence,
-   CAST((l_orderkey * 37 + l_linenumber * 101) % cols AS DOUBLE) AS bx, CAST((l_orderkey * 53 + l_linenumber * 211) % nrows AS DOUBLE) AS byy, l_quantity AS q
-   FROM lineitem JOIN rasters ON l_partkey = raster_id)"""
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
+   CAST((l_orderkey * 37 + l_linenumber * 101) % cols AS DOUBLE) AS bx, CAST((l_orderkey * 53 + l_linenumber * 211) % nrows AS DOUBLE) AS byy, CAST(l_quantity AS DOUBLE) AS q, CAST(l_orderkey AS BIGINT) * 10000 + l_linenumber * 1000 + rn AS det_id
+   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity, l_discount, l_returnflag) AS rn FROM lineitem) JOIN rasters ON l_partkey = raster_id)"""
 
 
 @query("split_assign", f"WITH {_SAMPLES} SELECT sample_id, split FROM splits")
@@ -58,10 +47,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return dataset.split_assign(fx.images(spark, d), fx.TRAIN, fx.VAL, fx.SEED)
 
 
-@query("split_stats", f"""WITH {_SAMPLES} SELECT split, count(*) AS images, count(*) FILTER (has_label) AS label_files, count(*) FILTER (NOT has_label) AS missing,
-  count(*) FILTER (len(classes) = 0) AS empty, count(*) FILTER (len(classes) > 0) AS with_objects, CAST(sum(len(classes)) AS BIGINT) AS objects FROM samples GROUP BY split""")
+@query("split_stats", f"""WITH {_INDEX} SELECT split, count(*) AS images, count(*) FILTER (has_label) AS label_files, count(*) FILTER (NOT has_label) AS missing,
+  count(*) FILTER (len(classes) = 0) AS empty, count(*) FILTER (len(classes) > 0) AS with_objects, CAST(sum(len(classes)) AS BIGINT) AS objects,
+  (SELECT string_agg(concat(class_id, ':', k), ',' ORDER BY class_id) FROM (SELECT i.class_id, count(*) AS k FROM idx i WHERE i.split = samples.split GROUP BY i.class_id)) AS class_objects FROM samples GROUP BY split""")
 def _(spark, d):
-    return stats.split_stats(fx.samples(spark, d))
+    s = fx.samples(spark, d)
+    each = F.transform(F.map_entries("class_objects"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
+    return stats.split_stats(s).join(stats.class_counts(s), "split", "left").withColumn("class_objects", F.array_join(each, ","))
 
 
 @query("class_share", f"WITH {_INDEX} SELECT split, class_id, samples AS objects, samples * CAST(100.0 AS DOUBLE) / sum(samples) OVER (PARTITION BY split) AS share FROM per_class")
@@ -126,13 +118,30 @@ def _(spark, d):
     return dataset.totals(fx.samples(spark, d))
 
 
-@query("dataset_report", f"""WITH {_TRIMMED},
- b AS (SELECT split, count(*) AS images, sum(len(classes)) AS objects FROM samples GROUP BY split),
- f AS (SELECT split, count(*) AS images, sum(len(classes)) AS objects FROM trimmed GROUP BY split)
- SELECT split, concat(split, ' images=', f.images, ' objects=', CAST(f.objects AS BIGINT), ' base_images=', coalesce(b.images, 0)) AS line FROM f LEFT JOIN b USING (split)""")
+_PERCENT = "regexp_replace(regexp_replace(CAST(round(CAST(k * CAST(100.0 AS DOUBLE) / objects AS DECIMAL(28,12)), 2) AS VARCHAR), '0+$', ''), '[.]$', '')"
+
+
+@query("dataset_report", f"""WITH {_TRIMMED}, kept AS (SELECT * FROM trimmed WHERE split <> 'test'),
+ st AS (SELECT split, count(*) AS images, count(*) FILTER (has_label) AS files, count(*) FILTER (NOT has_label) AS missing, count(*) FILTER (len(classes) = 0) AS empty, count(*) FILTER (len(classes) > 0) AS w, CAST(sum(len(classes)) AS BIGINT) AS objects FROM kept GROUP BY split),
+ cl AS (SELECT split, class_id, count(*) AS k FROM (SELECT split, unnest(classes) AS class_id FROM kept) GROUP BY split, class_id),
+ lines AS (SELECT split, string_agg(concat('    class ', class_id, ': ', k, ' (', {_PERCENT}, '%)'), chr(10) ORDER BY class_id) AS c FROM cl JOIN st USING (split) GROUP BY split),
+ names AS (SELECT * FROM (VALUES (0, 'train'), (1, 'valid'), (2, 'test')) t(split_no, split))
+ SELECT split_no, split, CASE WHEN images IS NULL THEN concat('- ', split, ': not found') ELSE concat('- ', split, ':', chr(10), '  images: ', images, chr(10), '  label files: ', files, chr(10), '  missing label files: ', missing, chr(10),
+  '  empty annotations: ', empty, chr(10), '  images with objects: ', w, chr(10), '  total objects: ', objects, chr(10), CASE WHEN c IS NULL THEN '  class balance: no objects' ELSE concat('  class balance:', chr(10), c) END) END AS text
+ FROM names LEFT JOIN st USING (split) LEFT JOIN lines USING (split)""")
+def _(spark, d):
+    """Of the trimmed samples without the test split, which is then told as not found."""
+    return stats.report_lines(balance.background_trim(fx.samples(spark, d), 20, True, fx.SEED).where("split <> 'test'"))
+
+
+@query("report_join", f"""WITH {_TRIMMED},
+ b AS (SELECT split, count(*) AS images, CAST(sum(len(classes)) AS BIGINT) AS objects FROM samples WHERE split <> 'valid' GROUP BY split),
+ f AS (SELECT split, count(*) AS images, CAST(sum(len(classes)) AS BIGINT) AS objects FROM trimmed GROUP BY split)
+ SELECT split, f.images, f.objects, coalesce(b.images, 0) AS base_images, coalesce(b.objects, 0) AS base_objects FROM f LEFT JOIN b USING (split)""")
 def _(spark, d):
     s = fx.samples(spark, d)
-    return stats.report_lines(stats.report(stats.split_stats(s), stats.split_stats(balance.background_trim(s, 20, True, fx.SEED))))
+    final, base = (stats.split_stats(x).select("split", "images", "objects") for x in (balance.background_trim(s, 20, True, fx.SEED), s.where("split <> 'valid'")))
+    return stats.report(base, final)
 
 
 @query("build_summary", f"""WITH {_SAMPLES}, t AS (SELECT split, count(*) AS images, CAST(sum(len(classes)) AS BIGINT) AS labels FROM samples GROUP BY split)
@@ -142,9 +151,11 @@ def _(spark, d):
     return writers.build_summary(dataset.totals(fx.samples(spark, d)), ["quality", "toxic"], "Detection")
 
 
-@query("tile_grid", f"WITH {_TILES} SELECT raster_id, tile_id, xmin, ymin, xmax, ymax FROM tiles")
+@query("tile_grid", f"""WITH {_TILES}, c AS (SELECT *, CAST(xmin AS BIGINT) AS a, CAST(ymin AS BIGINT) AS b, CAST(xmax AS BIGINT) AS c, CAST(ymax AS BIGINT) AS d FROM tiles)
+ SELECT raster_id, tile_id, concat('tile_', tile_id) AS tile_name, xmin, ymin, xmax, ymax, concat(a, ' ', b, ',', c, ' ', b, ',', c, ' ', d, ',', a, ' ', d, ',', a, ' ', b) AS ring FROM c""")
 def _(spark, d):
-    return tiling.tile_grid(fx.rasters(spark, d), SIZE, RATIO).drop("tile_name")
+    whole = lambda p: F.concat_ws(" ", p["x"].cast("long").cast("string"), p["y"].cast("long").cast("string"))
+    return tiling.with_ring(tiling.tile_grid(fx.rasters(spark, d), SIZE, RATIO)).withColumn("ring", F.array_join(F.transform("ring", whole), ","))
 
 
 @query("tile_stats", f"WITH {_TILES} SELECT count(*) AS total_tiles, 77 AS overlap_px FROM tiles")
@@ -168,8 +179,7 @@ def _(spark, d):
  SELECT raster_id, tile_id, class_id, ((x1 + x2) * CAST(0.5 AS DOUBLE) - xmin) / 256 AS cx, (ymax - (y1 + y2) * CAST(0.5 AS DOUBLE)) / 256 AS cy, (x2 - x1) / 256 AS w, (y2 - y1) / 256 AS h
  FROM j WHERE x2 > x1 AND y2 > y1""")
 def _(spark, d):
-    tiles = tiling.tile_grid(fx.rasters(spark, d), SIZE, RATIO).drop("tile_name")
-    j = spatial.box_join(tiles, fx.boxes(spark, d), ["raster_id"], float(SIZE))
+    j = tiling.box_tiles(fx.rasters(spark, d), fx.boxes(spark, d), SIZE, RATIO)
     b = geo.unit_box(spatial.boxes_of(), spatial.boxes_of("r_"))
     return j.withColumn("b", b).where("b is not null").select("raster_id", "tile_id", "class_id", "b.cx", "b.cy", "b.w", "b.h")
 
@@ -198,13 +208,22 @@ def _(spark, d):
     return best.select("class_id", (-F.col("b.order")).alias("vec_id"), F.round("b.area", 9).alias("area"))
 
 
+#: Every point at its place counts in these sums.
+_WEIGHED = "round(list_sum(list_transform(range(1, len({p}) + 1), lambda i: i * {p}[i].x)), 6) AS wx, round(list_sum(list_transform(range(1, len({p}) + 1), lambda i: i * {p}[i].y)), 6) AS wy"
+
+
+def _weighed(points: str = "points") -> list[Column]:
+    each = lambda c: F.round(F.aggregate(F.transform(points, lambda p, i: (i + 1) * p[c]), F.lit(0.0), lambda s, v: s + v), 6)
+    return [each("x").alias("wx"), each("y").alias("wy")]
+
+
 _VARIANT_SQL = {"rot90": ("1 - q.y", "q.x"), "rot180": ("1 - q.x", "1 - q.y"), "rot270": ("q.y", "1 - q.x"), "fliph": ("1 - q.x", "q.y"), "flipv": ("q.x", "1 - q.y"), "fliph_rot90": ("1 - q.y", "1 - q.x"), "fliph_rot270": ("q.y", "q.x")}
 
 
-@query("affine_variants", f"WITH {_POLYGONS} " + " UNION ALL ".join(f"SELECT vec_id, '{t}' AS tag, list_min(list_transform(p, lambda q: {x})) AS xmin, list_max(list_transform(p, lambda q: {y})) AS ymax, list_transform(p, lambda q: {x})[1] AS x1, list_transform(p, lambda q: {y})[1] AS y1 FROM polys" for t, (x, y) in _VARIANT_SQL.items()))
+@query("affine_variants", f"WITH {_POLYGONS} " + " UNION ALL ".join(f"SELECT vec_id, tag, list_min(list_transform(v, lambda q: q.x)) AS xmin, list_max(list_transform(v, lambda q: q.y)) AS ymax, {_WEIGHED.format(p='v')} FROM (SELECT vec_id, '{t}' AS tag, list_transform(p, lambda q: {{'x': {x}, 'y': {y}}}) AS v FROM polys)" for t, (x, y) in _VARIANT_SQL.items()))
 def _(spark, d):
     v = augment.exact_variants(fx.polygons(spark, d)).withColumn("h", geo.hull(F.col("points")))
-    return v.select("vec_id", "tag", "h.xmin", "h.ymax", F.element_at("points", 1)["x"].alias("x1"), F.element_at("points", 1)["y"].alias("y1"))
+    return v.select("vec_id", "tag", "h.xmin", "h.ymax", *_weighed())
 
 
 _DONORS = """
@@ -213,17 +232,17 @@ _DONORS = """
 
 
 @query("mosaic_labels", f"""WITH {_POLYGONS}, {_DONORS.strip()}, m AS (SELECT dn.vec_id, slot, class_id, list_transform(p, lambda q: {{'x': (slot % 2) * CAST(0.5 AS DOUBLE) + q.x / 2, 'y': (slot // 2) * CAST(0.5 AS DOUBLE) + q.y / 2}}) AS p FROM dn JOIN polys ON polys.vec_id = donor)
- SELECT vec_id, CAST(slot AS INTEGER) AS slot, class_id, list_min(list_transform(p, lambda q: q.x)) AS xmin, list_max(list_transform(p, lambda q: q.y)) AS ymax FROM m""")
+ SELECT vec_id, CAST(slot AS INTEGER) AS slot, class_id, list_min(list_transform(p, lambda q: q.x)) AS xmin, list_max(list_transform(p, lambda q: q.y)) AS ymax, {_WEIGHED.format(p='p')} FROM m""")
 def _(spark, d):
     p = fx.polygons(spark, d)
     donors = augment.with_self(augment.donors(p, 3, fx.SEED, "vec_id"), p, "vec_id")
-    return augment.mosaic(p, donors, "vec_id").withColumn("h", geo.hull(F.col("points"))).select("vec_id", "slot", "class_id", "h.xmin", "h.ymax")
+    return augment.mosaic(p, donors, "vec_id").withColumn("h", geo.hull(F.col("points"))).select("vec_id", "slot", "class_id", "h.xmin", "h.ymax", *_weighed())
 
 
-@query("mixup_labels", f"WITH {_POLYGONS}, {_DONORS.strip()} SELECT vec_id, class_id FROM polys UNION ALL SELECT dn.vec_id, class_id FROM dn JOIN polys ON polys.vec_id = donor WHERE slot = 1")
+@query("mixup_labels", f"WITH {_POLYGONS}, {_DONORS.strip()} SELECT vec_id, class_id, {_WEIGHED.format(p='p')} FROM polys UNION ALL SELECT dn.vec_id, class_id, {_WEIGHED.format(p='p')} FROM dn JOIN polys ON polys.vec_id = donor WHERE slot = 1")
 def _(spark, d):
     p = fx.polygons(spark, d)
-    return augment.mixup(p, augment.donors(p, 1, fx.SEED, "vec_id"), "vec_id").select("vec_id", "class_id")
+    return augment.mixup(p, augment.donors(p, 1, fx.SEED, "vec_id"), "vec_id").select("vec_id", "class_id", *_weighed())
 
 
 @query("crop_labels", f"""WITH {_POLYGONS}, c AS (SELECT vec_id, list_transform(p, lambda q: greatest(0, least(1, (q.x - CAST(0.25 AS DOUBLE)) / CAST(0.5 AS DOUBLE)))) AS xs, list_transform(p, lambda q: greatest(0, least(1, (q.y - CAST(0.25 AS DOUBLE)) / CAST(0.5 AS DOUBLE)))) AS ys FROM polys)
@@ -241,55 +260,63 @@ _LINES = f"""
 @query("label_parse", f"""WITH {_LINES} SELECT l_orderkey, l_linenumber,
   CASE WHEN k IN (0, 1) THEN CAST(trunc(c) AS INTEGER) END AS object_class, CASE k WHEN 0 THEN 'bbox' WHEN 1 THEN 'poly' END AS source_kind,
   CASE WHEN k <> 3 THEN CAST(trunc(c) AS INTEGER) END AS class_only, CASE WHEN k IN (0, 1, 4) THEN CAST(round_even(c, 0) AS INTEGER) END AS report_class,
-  CASE k WHEN 0 THEN 4 WHEN 1 THEN 3 END AS n_points FROM src""")
+  CASE k WHEN 0 THEN 4 WHEN 1 THEN 3 END AS n_points,
+  round(CASE k WHEN 0 THEN 4 * q WHEN 1 THEN q + t + dd END, 8) AS sum_x, round(CASE k WHEN 0 THEN 4 * dd WHEN 1 THEN dd + q + dd END, 8) AS sum_y,
+  round(CASE k WHEN 0 THEN q - t / 2 WHEN 1 THEN q END, 8) AS first_x, round(CASE k WHEN 0 THEN dd + q / 2 WHEN 1 THEN dd END, 8) AS last_y FROM src""")
 def _(spark, d):
     o = lb.parse_object(F.col("line"))
-    return fx.label_lines(spark, d).withColumn("o", o).select("l_orderkey", "l_linenumber", F.col("o.class_id").alias("object_class"), "o.source_kind", lb.parse_class(F.col("line")).alias("class_only"), lb.parse_report_class(F.col("line")).alias("report_class"), F.size("o.points").alias("n_points"))
+    total = lambda c: F.round(F.aggregate("o.points", F.lit(0.0), lambda s, p: s + p[c]), 8)
+    return fx.label_lines(spark, d).withColumn("o", o).select("l_orderkey", "l_linenumber", F.col("o.class_id").alias("object_class"), "o.source_kind", lb.parse_class(F.col("line")).alias("class_only"), lb.parse_report_class(F.col("line")).alias("report_class"), F.size("o.points").alias("n_points"), total("x").alias("sum_x"), total("y").alias("sum_y"), F.round(F.try_element_at("o.points", F.lit(1))["x"], 8).alias("first_x"), F.round(F.try_element_at("o.points", F.lit(-1))["y"], 8).alias("last_y"))
 
 
-@query("label_format", f"WITH {_POLYGONS} SELECT vec_id, len(p) * 2 + 1 AS n_tokens, CAST(class_id AS VARCHAR) AS class_token FROM polys")
+@query("label_format", f"""WITH {_POLYGONS}, h AS (SELECT vec_id, class_id, p, list_min(list_transform(p, lambda q: q.x)) AS x1, list_min(list_transform(p, lambda q: q.y)) AS y1, list_max(list_transform(p, lambda q: q.x)) AS x2, list_max(list_transform(p, lambda q: q.y)) AS y2 FROM polys)
+ SELECT vec_id, concat(class_id, ' ', array_to_string(list_transform(p, lambda q: printf('%.6f', q.x) || ' ' || printf('%.6f', q.y)), ' ')) AS poly,
+  concat(class_id, ' ', printf('%.6f', x1 + (x2 - x1) * CAST(0.5 AS DOUBLE)), ' ', printf('%.6f', y1 + (y2 - y1) * CAST(0.5 AS DOUBLE)), ' ', printf('%.6f', x2 - x1), ' ', printf('%.6f', y2 - y1)) AS box FROM h""")
 def _(spark, d):
-    line = writers.label_line(F.col("class_id"), F.col("points"), F.lit("poly"))
-    return fx.polygons(spark, d).withColumn("t", F.split(line, " ")).select("vec_id", F.size("t").cast("long").alias("n_tokens"), F.element_at("t", 1).alias("class_token"))
+    line = lambda kind: writers.label_line(F.col("class_id"), F.col("points"), F.lit(kind))
+    return fx.polygons(spark, d).select("vec_id", line("poly").alias("poly"), line("bbox").alias("box"))
 
 
 def _detections(spark, d) -> DataFrame:
-    """Boxes as detections in pixels of their raster, with a triangle and a quadrangle as masks. det_id
-    is made of the row, as its keys aren't unique."""
-    b = fx.boxes(spark, d).withColumn("det_id", F.monotonically_increasing_id())
+    """Boxes as detections in pixels of their raster; masks are a triangle, the box, and the box moved by
+    half its side."""
+    b = fx.boxes(spark, d)
+    half = (F.col("xmax") - F.col("xmin")) / 2
     xy = lambda *p: F.array(*(F.array(F.col(x), F.col(y)) for x, y in p))
-    masks = F.array(xy(("xmin", "ymin"), ("xmax", "ymin"), ("xmin", "ymax")), xy(("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax")))
+    quad = xy(("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"))
+    masks = F.array(xy(("xmin", "ymin"), ("xmax", "ymin"), ("xmin", "ymax")), quad, F.transform(quad, lambda p: F.transform(p, lambda v: v + half)))
     box = F.when(F.col("class_id") == 2, F.lit(None)).otherwise(F.array("xmin", "ymin", "xmax", "ymax"))
     d_ = b.select("raster_id", "det_id", F.col("class_id").cast("string").alias("class"), "confidence", box.alias("bbox_xyxy"), masks.alias("mask_polygons_px"))
     r = fx.rasters(spark, d).select("raster_id", F.col("cell_x").alias("pixel_w"), F.col("cell_y").alias("pixel_h"), "xmin", "ymin", "xmax", "ymax", F.concat(F.lit("raster_"), F.col("raster_id").cast("string")).alias("source_img"))
     return d_.join(r, "raster_id")
 
 
-@query("detection_json", f"WITH {_RASTERS}, {_BOXES.strip()} SELECT raster_id, count(*) AS detections, count(*) FILTER (class_id <> 2) AS with_box, CAST(2 * count(*) AS BIGINT) AS polygons FROM boxes GROUP BY raster_id")
+@query("detection_json", f"""WITH {_RASTERS}, {_BOXES.strip()} SELECT raster_id, CAST(row_number() OVER (PARTITION BY raster_id ORDER BY det_id) - 1 AS INTEGER) AS ord, CAST(class_id AS VARCHAR) AS class, confidence,
+  CASE WHEN class_id <> 2 THEN bx END AS x1, CASE WHEN class_id <> 2 THEN byy + q END AS y2, 3 AS polygons, byy + q AS triangle_y, bx + q / 2 AS moved_x FROM boxes""")
 def _(spark, d):
     text = writers.detections_json(_detections(spark, d), ["raster_id"], ["det_id"])
     back = listing.parse_detections(text, "json")
-    return back.groupBy("raster_id").agg(F.count("*").alias("detections"), F.count("bbox_xyxy").alias("with_box"), F.sum(F.size("mask_polygons_px")).cast("long").alias("polygons"))
+    at = lambda i, j, k: F.element_at(F.element_at(F.element_at("mask_polygons_px", i), j), k)
+    return back.select("raster_id", "ord", "class", "confidence", F.try_element_at("bbox_xyxy", F.lit(1)).alias("x1"), F.try_element_at("bbox_xyxy", F.lit(4)).alias("y2"), F.size("mask_polygons_px").alias("polygons"), at(1, 3, 2).alias("triangle_y"), at(3, 1, 1).alias("moved_x"))
 
 
-@query("feature_points", f"""WITH {_RASTERS}, {_BOXES.strip()}, f AS (SELECT b.raster_id, bx + q / 2 AS x, nrows - (byy + q / 2) AS y, confidence FROM boxes b JOIN rasters USING (raster_id))
- SELECT raster_id, count(*) AS n, round(sum(x), 3) AS sum_x, round(sum(y), 3) AS sum_y, round(sum(confidence), 6) AS sum_confidence FROM f GROUP BY raster_id""")
+@query("feature_points", f"WITH {_RASTERS}, {_BOXES.strip()} SELECT det_id, round(bx + q / 2, 6) AS x, round(nrows - (byy + q / 2), 6) AS y, confidence, concat('raster_', raster_id) AS source_img FROM boxes JOIN rasters USING (raster_id)")
 def _(spark, d):
     p = features.points(features.prepared(_detections(spark, d)))
-    return p.withColumn("raster_id", F.substring_index("source_img", "_", -1).cast("long")).groupBy("raster_id").agg(F.count("*").alias("n"), F.round(F.sum("geometry.x"), 3).alias("sum_x"), F.round(F.sum("geometry.y"), 3).alias("sum_y"), F.round(F.sum("confidence"), 6).alias("sum_confidence"))
+    return p.select("det_id", F.round("geometry.x", 6).alias("x"), F.round("geometry.y", 6).alias("y"), "confidence", "source_img")
 
 
-@query("feature_boxes", f"WITH {_RASTERS}, {_BOXES.strip()} SELECT raster_id, bx AS x1, nrows - (byy + q) AS y1, bx + q AS x2, nrows - byy AS y2, confidence, CAST(class_id AS VARCHAR) AS class FROM boxes JOIN rasters USING (raster_id) WHERE class_id <> 2")
+@query("feature_boxes", f"WITH {_RASTERS}, {_BOXES.strip()} SELECT det_id, raster_id, bx AS x1, nrows - (byy + q) AS y1, bx + q AS x2, nrows - byy AS y2, confidence, CAST(class_id AS VARCHAR) AS class FROM boxes JOIN rasters USING (raster_id) WHERE class_id <> 2 AND confidence >= CAST(0.6 AS DOUBLE)")
 def _(spark, d):
-    b = features.boxes(features.prepared(_detections(spark, d)))
+    b = features.boxes(features.prepared(_detections(spark, d), 0.6))
     at = lambda i: F.element_at("geometry", i)
-    return b.select(F.substring_index("source_img", "_", -1).cast("long").alias("raster_id"), at(1)["x"].alias("x1"), at(1)["y"].alias("y1"), at(3)["x"].alias("x2"), at(3)["y"].alias("y2"), "confidence", "class")
+    return b.select("det_id", F.substring_index("source_img", "_", -1).cast("long").alias("raster_id"), at(1)["x"].alias("x1"), at(1)["y"].alias("y1"), at(3)["x"].alias("x2"), at(3)["y"].alias("y2"), "confidence", "class")
 
 
-@query("feature_masks", f"WITH {_RASTERS}, {_BOXES.strip()} SELECT raster_id, count(*) AS n, round(sum(q * q), 3) AS area FROM boxes GROUP BY raster_id")
+@query("feature_masks", f"WITH {_RASTERS}, {_BOXES.strip()} SELECT det_id, round(q * q, 6) AS area, bx AS xmin, nrows - byy AS ymax, 5 AS corners FROM boxes JOIN rasters USING (raster_id) WHERE q > 0")
 def _(spark, d):
-    m = features.masks(features.prepared(_detections(spark, d)))
-    return m.groupBy(F.substring_index("source_img", "_", -1).cast("long").alias("raster_id")).agg(F.count("*").alias("n"), F.round(F.sum(geo.area(F.col("geometry"))), 3).alias("area"))
+    m = features.masks(features.prepared(_detections(spark, d))).withColumn("h", geo.hull(F.col("geometry")))
+    return m.select("det_id", F.round(geo.area(F.col("geometry")), 6).alias("area"), "h.xmin", "h.ymax", F.size("geometry").alias("corners"))
 
 
 @query("seed_hash", """WITH RECURSIVE t AS (SELECT c_custkey, c_name, 1 AS i, CAST(17 AS BIGINT) AS h FROM customer UNION ALL
@@ -317,10 +344,14 @@ def _(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", sc.rebalance(s, s % 7, s % 11).alias("r")).select("p_partkey", "r.first", "r.second")
 
 
-@query("estimate", "SELECT p_partkey, least(8, 1 + p_size % 12) + 2 AS copies, p_size * 900 * (least(8, 1 + p_size % 12) + 2) AS images, CAST(p_size * 900 * (least(8, 1 + p_size % 12) + 2) / 20.0 AS DOUBLE) AS seconds, p_size * 900 * (least(8, 1 + p_size % 12) + 2) > 100000 AS warn FROM part")
+_COPIES = "(CASE WHEN p_size % 12 > 0 THEN least(8, 1 + p_size % 12) ELSE 1 END + CASE WHEN p_size % 3 > 0 THEN 1 ELSE 0 END)"
+
+
+@query("estimate", f"SELECT p_partkey, {_COPIES} AS copies, p_size * 900 * {_COPIES} AS images, CAST(p_size * 900 * {_COPIES} / 20.0 AS DOUBLE) AS seconds, p_size * 900 * {_COPIES} > 100000 AS warn, strftime(TIMESTAMP '2000-01-01' + to_seconds(p_size * 900 * {_COPIES} // 20), '%H:%M:%S') AS span FROM part")
 def _(spark, d):
     s = F.col("p_size")
-    return fx.read(spark, d, "part").select("p_partkey", sc.estimate(s * 900, s % 12, F.lit(2)).alias("e")).select("p_partkey", "e.copies", "e.images", F.col("e.seconds").cast("double").alias("seconds"), "e.warn")
+    e = fx.read(spark, d, "part").select("p_partkey", sc.estimate(s * 900, s % 12, s % 3).alias("e"))
+    return e.select("p_partkey", "e.copies", "e.images", F.col("e.seconds").cast("double").alias("seconds"), "e.warn", sc.hms(F.col("e.seconds")).alias("span"))
 
 
 @query("layer_resolve", "WITH r AS (SELECT n_nationkey AS class_id, '  ' || upper(n_name) AS name FROM nation), f AS (SELECT lower(trim(n_name)) AS k, arg_min(n_name, n_nationkey) AS layer, min(n_nationkey) AS layer_no FROM nation WHERE n_regionkey <> 2 GROUP BY 1) SELECT class_id, name, layer, layer_no FROM r JOIN f ON lower(trim(name)) = k")
@@ -348,19 +379,23 @@ def _(spark, d):
 
 @query("nms")
 def _(spark, d):
-    """Kept boxes per raster and class. det_id depends on how files are read, and with it ties."""
-    kept = features.suppress(_detections(spark, d))
-    return kept.groupBy("raster_id", "class").agg(F.count("*").alias("kept"))
+    return features.suppress(_detections(spark, d)).select("raster_id", "det_id", "class")
 
 
-@query("obb")
+@query("obb", f"WITH {_RASTERS}, {_BOXES.strip()} SELECT det_id, round(bx, 6) AS xmin, round(nrows - (byy + 1.5 * q), 6) AS ymin, round(bx + 1.5 * q, 6) AS xmax, round(nrows - byy, 6) AS ymax, round(2.25 * q * q, 6) AS area FROM boxes JOIN rasters USING (raster_id)")
 def _(spark, d):
-    return features.oriented(features.prepared(_detections(spark, d))).select("det_id", "geometry")
+    """Round the box and its moved copy the least rectangle is upright."""
+    o = features.oriented(features.prepared(_detections(spark, d))).withColumn("h", geo.hull(F.col("geometry")))
+    return o.select("det_id", *(F.round(f"h.{c}", 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")), F.round(geo.area(F.col("geometry")), 6).alias("area"))
 
 
-@query("polygon_union")
+@query("polygon_union", f"WITH {_RASTERS}, {_BOXES.strip()} SELECT det_id, 1 AS rings, 9 AS corners, round(1.75 * q * q, 6) AS area, round(bx, 6) AS xmin, round(nrows - byy, 6) AS ymax FROM boxes JOIN rasters USING (raster_id)")
 def _(spark, d):
-    return features.union(features.prepared(_detections(spark, d))).select("det_id", "parts")
+    """Of the box and its moved copy: one ring of eight corners."""
+    u = features.masks(features.prepared(_detections(spark, d)), "union")
+    ring = F.transform(F.element_at("geometry", 1), lambda p: geo.point(p[0], p[1]))
+    u = u.select("det_id", F.size("geometry").alias("rings"), ring.alias("ring")).withColumn("h", geo.hull(F.col("ring")))
+    return u.select("det_id", "rings", F.size("ring").alias("corners"), F.round(geo.area(F.col("ring")), 6).alias("area"), F.round("h.xmin", 6).alias("xmin"), F.round("h.ymax", 6).alias("ymax"))
 
 
 def _images(spark, d) -> DataFrame:
@@ -375,11 +410,41 @@ def _images(spark, d) -> DataFrame:
     return fx.rasters(spark, d).select("raster_id").mapInPandas(make, "image_id long, height int, width int, data binary")
 
 
+def _samples(spark, d) -> DataFrame:
+    """Those images with two objects each, a box and a triangle."""
+    at = lambda *p: F.array(*(geo.point(x, y) for x, y in p))
+    one = lambda c, ring, kind: F.struct((F.col("image_id") % c).cast("int").alias("class_id"), ring.alias("points"), F.lit(kind).alias("source_kind"))
+    return _images(spark, d).withColumn("objects", F.array(one(3, at((0.1, 0.2), (0.5, 0.2), (0.5, 0.6), (0.1, 0.6)), "bbox"), one(5, at((0.3, 0.3), (0.9, 0.4), (0.4, 0.8)), "poly")))
+
+
+#: Every random option on.
+_OPTIONS = {
+    n: {"enabled": True, "value": a, "value_min": a, "value_max": b, "prob": 0.4}
+    for n, a, b in (
+        ("shear_x", -8, 8), ("shear_y", -8, 8), ("scale", 0.8, 1.2), ("translate_x", -0.1, 0.1), ("translate_y", -0.1, 0.1), ("perspective", 0, 0.05), ("random_crop", 0.6, 0.95),
+        ("mosaic_4_img", 1, 1), ("mixup", 0.2, 0.6), ("copy_paste", 1, 4), ("hue", 0, 0.1), ("saturation", 0.8, 1.2), ("value_brightness", 0.8, 1.2), ("contrast", 0.8, 1.2), ("clahe", 1, 3),
+        ("grayscale", 0, 1), ("solarize", 100, 200), ("posterize", 3, 7), ("equalize", 0, 1), ("auto_contrast", 0, 2), ("gaussian_blur", 1, 5), ("median_blur", 1, 3), ("gaussian_noise", 1, 8),
+        ("salt_and_pepper", 0, 0.05), ("random_shadow", 0.1, 0.5), ("rain_fog", 0.1, 0.4), ("cutout", 0.1, 0.3), ("erasing", 0.1, 0.3),
+    )
+}
+
+
+def _written(v: DataFrame) -> DataFrame:
+    """Variants as name, digest of the pixels, label text and what acted."""
+    line = lambda o: writers.label_line(o["class_id"].cast("int"), o["points"], o["source_kind"])
+    text = F.array_join(F.filter(F.transform("objects", line), lambda x: x.isNotNull()), "\n")
+    name = augment.variant_name(F.concat(F.lit("img_"), F.col("image_id").cast("string")), F.col("tag"))
+    return v.select(name.alias("name"), F.md5("data").alias("digest"), text.alias("labels"), F.array_join("steps", ",").alias("steps"), F.round("extreme_share", 6).alias("extreme_share"))
+
+
 @query("image_ops")
 def _(spark, d):
-    value = {"hue": (0, 0.1), "saturation": (0.8, 1.2), "brightness": (0.8, 1.2), "contrast": (0.8, 1.2), "clahe": (1, 3), "solarize": (100, 200), "posterize": (3, 7), "auto_contrast": (0, 2), "gaussian_blur": (1, 5), "median_blur": (1, 3), "gaussian_noise": (1, 8), "salt_pepper": (0, 0.05), "random_shadow": (0.1, 0.5), "rain_fog": (0.1, 0.4), "cutout": (0.1, 0.3), "erasing": (0.1, 0.3)}
-    options = {n: {"enabled": True, "value_min": value.get(n, (0, 1))[0], "value_max": value.get(n, (0, 1))[1], "prob": 0.4} for n, _ in imageops.PIPELINE}
-    return imageops.apply_images(_images(spark, d), options, 2, fx.SEED).select("image_id", "tag", F.md5("data").alias("digest"), "extreme_share")
+    return _written(variants.random_variants(_samples(spark, d), _OPTIONS, 2, fx.SEED))
+
+
+@query("image_variants")
+def _(spark, d):
+    return _written(variants.exact_variants(_samples(spark, d), ("rot90", "rot180", "rot270", "fliph", "flipv", "fliph_rot90", "fliph_rot270")))
 
 
 @query("tile_images")
@@ -387,7 +452,12 @@ def _(spark, d):
     return imageops.cut_tiles(_images(spark, d), 16, 11).select("image_id", "tile_id", F.length("png").alias("bytes"))
 
 
-@query("copy_paste_labels")
+@query("copy_paste_labels", f"""WITH {_POLYGONS}, {_DONORS.strip()}, px AS (SELECT vec_id, list_transform(p, lambda q: greatest(0, round_even(q.x * 639, 0))) AS xs, list_transform(p, lambda q: greatest(0, round_even(q.y * 639, 0))) AS ys FROM polys),
+ ok AS (SELECT vec_id FROM px WHERE least(list_max(xs), 639) - list_min(xs) + 1 >= 2 AND least(list_max(ys), 639) - list_min(ys) + 1 >= 2)
+ SELECT polys.vec_id, 1 + count(ok.vec_id) AS objects FROM polys JOIN dn ON dn.vec_id = polys.vec_id AND slot = 1 LEFT JOIN ok ON ok.vec_id = donor GROUP BY polys.vec_id""")
 def _(spark, d):
     p = fx.polygons(spark, d).withColumn("object_ord", F.lit(0))
     return augment.copy_paste(p, augment.donors(p, 1, fx.SEED, "vec_id"), 3, 640, 640, fx.SEED, "vec_id").groupBy("vec_id").agg(F.count("*").alias("objects"))
+
+
+from tessella import catalog_labels, catalog_values  # noqa: E402, F401  they register their queries

@@ -40,10 +40,20 @@ def words(v: Column, separator: str) -> Column:
 
 
 def trailing_number(name: Column) -> Column:
-    """(prefix, number) of a name that ends in digits, else null."""
+    """(prefix, number) of a name that ends in digits, else null. The number is text without leading
+    zeros, so it may have any length."""
     digits = F.regexp_extract(name, "([0-9]+)$", 1)
     prefix = F.substring(name, F.lit(1), F.length(name) - F.length(digits))
-    return F.when(F.length(digits) > 0, F.struct(prefix.alias("prefix"), digits.cast("long").alias("number")))
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.when(F.length(digits) > 0, F.struct(prefix.alias("prefix"), plain.alias("number")))
+
+
+def one_less(digits: Column) -> Column:
+    """A positive whole number of any length, as text without leading zeros, less one; null for 0."""
+    head, zeros = F.regexp_extract(digits, "^(.*?)(0*)$", 1), F.length(F.regexp_extract(digits, "(0*)$", 1))
+    last = F.substring(head, -1, 1).cast("int")
+    less = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), (last - 1).cast("string"), F.repeat(F.lit("9"), zeros))
+    return F.when(F.length(head) > 0, F.regexp_replace(less, "^0+(?=.)", ""))
 
 
 def yaml_key(name: Column) -> Column:
@@ -90,7 +100,7 @@ def detection_root(tiles: Column) -> Column:
 
 def mask_mode(v: Column) -> Column:
     word = F.lower(F.trim(F.coalesce(v, F.lit(""))))
-    return F.when(word.isin("largest", "all", "union"), word).otherwise("largest")
+    return F.when(word.isin("largest", "union"), word).otherwise("largest")
 
 
 def balance_method(v: Column) -> Column:
@@ -110,8 +120,99 @@ def rebalance(changed: Column, other1: Column, other2: Column) -> Column:
     return F.struct(limit(F.when(a >= b, a + delta).otherwise(a)).alias("first"), limit(F.when(a >= b, b).otherwise(b + delta)).alias("second"))
 
 
-def estimate(tiles: Column, flips: Column, random_copies: Column) -> Column:
-    """Copies per tile (8 at most), images, seconds at 20 images a second, and the size warning."""
-    copies = F.least(F.lit(8), 1 + flips) + random_copies
+def estimate(tiles: Column, flips: Column, stochastic: Column) -> Column:
+    """Copies per tile (8 at most by flips and turns, and one if any random option is on), images,
+    seconds at 20 images a second, and the size warning."""
+    copies = F.greatest(F.lit(1), F.when(flips > 0, F.least(F.lit(8), 1 + flips)).otherwise(1) + F.when(stochastic > 0, 1).otherwise(0))
     images = tiles * copies
     return F.struct(copies.alias("copies"), images.alias("images"), (images / 20.0).alias("seconds"), (images > 100_000).alias("warn"))
+
+
+def hms(seconds: Column) -> Column:
+    """hh:mm:ss of a span; whole days aren't shown."""
+    s = F.floor(seconds).cast("long")
+    two = lambda v: F.lpad(v.cast("string"), 2, "0")
+    return F.concat_ws(":", two(F.floor(s / 3600) % 24), two(F.floor(s / 60) % 60), two(s % 60))
+
+
+def fixed(v: Column, places: int = 6) -> Column:
+    """A finite number with that many decimals, rounded as its binary value asks and ties to even.
+    Twice the scaled value is computed with its rounding error (the factor has few bits, so halves of
+    the value times it are exact): only where that is an odd whole number does the error decide."""
+    factor, a = float(2 * 10**places), F.abs(v)
+    high = (a * 134217729.0) - ((a * 134217729.0) - a)
+    p = a * factor
+    error = (high * factor - p) + (a - high) * factor
+    half = F.floor(p / 2)
+    odd = (p == F.floor(p)) & (F.pmod(p, F.lit(2.0)) == 1)
+    up = F.when(odd, F.when(error > 0, 1).when(error < 0, 0).otherwise(F.pmod(half, F.lit(2)))).otherwise(F.floor((p + 1) / 2) - half)
+    n = (half + up).cast("long")
+    scale = 10**places
+    text = F.concat(F.floor(n / scale).cast("long").cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), places, "0"))
+    return F.concat(F.when(v < 0, "-").otherwise(""), text)
+
+
+def shortest(v: Column, places: int) -> Column:
+    """A number with at most that many decimals, halves away from zero, without trailing zeros."""
+    text = F.round(v.cast("decimal(28,12)"), places).cast(f"decimal(28,{places})").cast("string")
+    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def spin_step(low: Column, high: Column) -> Column:
+    """The step of an input field by the width of its range."""
+    span = F.abs(high - low)
+    return F.when(span <= 0.01, 0.0001).when(span <= 1.0, 0.001).when(span <= 10.0, 0.1).otherwise(1.0)
+
+
+def spin_precision(low: Column, high: Column) -> Column:
+    """The decimals that its step needs."""
+    step = spin_step(low, high)
+    return F.when(step >= 1, 0).when(step >= 0.1, 1).when(step >= 0.01, 2).when(step >= 0.001, 3).otherwise(4)
+
+
+def rounded_away(v: Column, places: Column) -> Column:
+    """Halves away from zero at a number of places that is itself a column (0 to 4)."""
+    out = F.round(v, 0)
+    for k in (1, 2, 3, 4):
+        out = F.when(places == k, F.round(v, k)).otherwise(out)
+    return out
+
+
+def settle_option(value: Column, value_min: Column, value_max: Column, prob: Column, low: Column, high: Column, prob_low: Column, prob_high: Column) -> Column:
+    """An option's numbers brought into its limits, at the field's precision: the lower end first (it
+    can't pass the upper one), then the upper end, then the value. An end that moves takes along a value
+    beyond it, and a value that moves takes along an end. The probability has two decimals."""
+    step = lambda s, f: F.element_at(F.transform(F.array(s), f), 1)  # noqa: E731  names a stage's numbers once
+    digits = spin_precision(low, high)
+    s = F.struct(digits.alias("digits"), value.alias("v"), value_min.alias("low"), value_max.alias("high"))
+    s = step(s, lambda s: F.struct(s["digits"].alias("digits"), s["v"].alias("v"), s["low"].alias("low"), s["high"].alias("high"), rounded_away(F.least(clamp(s["low"], low, high), s["high"]), s["digits"]).alias("a")))
+    s = step(s, lambda s: F.struct(s["digits"].alias("digits"), F.when((s["a"] != s["low"]) & (s["v"] < s["a"]), s["a"]).otherwise(s["v"]).alias("v"), s["high"].alias("high"), s["a"].alias("a"), rounded_away(F.greatest(clamp(s["high"], low, high), s["a"]), s["digits"]).alias("b")))
+    s = step(s, lambda s: F.struct(s["digits"].alias("digits"), F.when((s["b"] != s["high"]) & (s["v"] > s["b"]), s["b"]).otherwise(s["v"]).alias("v"), s["a"].alias("a"), s["b"].alias("b")))
+    s = step(s, lambda s: F.struct(s["v"].alias("v"), s["a"].alias("a"), s["b"].alias("b"), rounded_away(clamp(s["v"], low, high), s["digits"]).alias("z")))
+    ends = lambda s: (F.when((s["z"] != s["v"]) & (s["a"] > s["z"]), s["z"]).otherwise(s["a"]), F.when((s["z"] != s["v"]) & (s["b"] < s["z"]), s["z"]).otherwise(s["b"]))
+    return step(s, lambda s: F.struct(s["z"].alias("value"), ends(s)[0].alias("value_min"), ends(s)[1].alias("value_max"), F.round(clamp(prob, prob_low, prob_high), 2).alias("prob")))
+
+
+def project_path(path: Column) -> Column:
+    """A project file's path: no file scheme, back slashes; empty ones are null."""
+    v = F.trim(path)
+    bare = F.when(F.lower(v).startswith("file:///"), F.substring(v, F.lit(9), F.length(v))).otherwise(v)
+    return F.when(F.length(path) > 0, F.replace(bare, F.lit("/"), F.lit("\\")))
+
+
+def project_key(path: Column) -> Column:
+    """Under which a project's settings are kept."""
+    return F.replace(F.lower(F.trim(F.coalesce(path, F.lit("")))), F.lit("/"), F.lit("\\"))
+
+
+def stamp(time: Column) -> Column:
+    """yyyyMMdd_HHmmss, as names carry it."""
+    return F.date_format(time, "yyyyMMdd_HHmmss")
+
+
+def recent(history: Column, item: Column, limit: int = 20) -> Column:
+    """A list of recent items with one in front: each spelling by case once, `limit` at most, no blanks."""
+    whole = F.filter(F.concat(F.array(item), history), lambda x: x.isNotNull() & (F.length(F.trim(x)) > 0))
+    low = F.transform(whole, lambda x: F.lower(x))
+    first = F.filter(whole, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return F.slice(first, 1, limit)

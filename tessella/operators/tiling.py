@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import box_ring
-from tessella.functions.scalars import trailing_number
+from tessella.functions.scalars import one_less, trailing_number
 
 GUARD = 1e-9
 
@@ -21,14 +21,18 @@ def overlap_pixels(size: int, ratio: float) -> int:
     return px
 
 
+def tile_count(low: str, high: str, step: Column) -> Column:
+    """How many tiles start within an extent."""
+    return F.greatest(F.ceil((F.col(high) - F.col(low) - GUARD) / step).cast("long"), F.lit(0))
+
+
 def tile_grid(rasters: DataFrame, size: int, ratio: float) -> DataFrame:
     """Tiles of each raster, rows from the bottom, columns from the left, while their start lies
     inside; edge tiles reach beyond. Coordinates are start + index * step, so they carry no summed
     rounding."""
     step = size - overlap_pixels(size, ratio)
     r = rasters.withColumn("_sx", step * F.col("cell_x")).withColumn("_sy", step * F.col("cell_y"))
-    n = lambda low, high, s: F.greatest(F.ceil((F.col(high) - F.col(low) - GUARD) / F.col(s)).cast("long"), F.lit(0))
-    r = r.withColumn("_nx", n("xmin", "xmax", "_sx")).withColumn("_ny", n("ymin", "ymax", "_sy")).where("_nx > 0 and _ny > 0")
+    r = r.withColumn("_nx", tile_count("xmin", "xmax", F.col("_sx"))).withColumn("_ny", tile_count("ymin", "ymax", F.col("_sy"))).where("_nx > 0 and _ny > 0")
     r = r.withColumn("_iy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ny") - 1))).withColumn("_ix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nx") - 1)))
     x, y = F.col("xmin") + F.col("_ix") * F.col("_sx"), F.col("ymin") + F.col("_iy") * F.col("_sy")
     tile_id = F.col("_iy") * F.col("_nx") + F.col("_ix") + 1
@@ -45,10 +49,11 @@ def tile_stats(tiles: DataFrame, size: int, ratio: float) -> DataFrame:
 
 def load_grid(grid: DataFrame) -> DataFrame:
     """Named rows of a grid table (name, row_no and more): the last of a name's rows, at the place of
-    its first. Rows without a name go."""
+    its first. Rows without a name, or without the extent's xmin, go."""
     rest = [c for c in grid.columns if c not in ("name", "row_no")]
     last = F.max_by(F.struct(*rest, F.col("row_no").alias("_no")), F.col("row_no"))
-    return grid.where("name is not null").groupBy("name").agg(F.min("row_no").alias("row_no"), last.alias("v")).select("name", "row_no", *(F.col(f"v.{c}").alias(c) for c in rest))
+    whole = grid.where("name <> '' and xmin is not null") if "xmin" in rest else grid.where("name <> ''")
+    return whole.groupBy("name").agg(F.min("row_no").alias("row_no"), last.alias("v")).select("name", "row_no", *(F.col(f"v.{c}").alias(c) for c in rest))
 
 
 def aliases(grid: DataFrame) -> DataFrame:
@@ -59,12 +64,7 @@ def aliases(grid: DataFrame) -> DataFrame:
     g = grid.select("row_no", key.alias("key")).where(F.length("key") > 0).withColumn("t", trailing_number(F.col("key")))
     p, n = F.col("t.prefix"), F.col("t.number")
     compact = F.when(p.endswith("_"), F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
-    offers = F.array(
-        F.col("key"),
-        F.concat(compact, n.cast("string")),
-        F.when(n > 0, F.concat(p, (n - 1).cast("string"))),
-        F.when(n > 0, F.concat(compact, (n - 1).cast("string"))),
-    )
+    offers = F.array(F.col("key"), F.concat(compact, n), F.concat(p, one_less(n)), F.concat(compact, one_less(n)))
     each = g.select("row_no", F.posexplode(offers).alias("pos", "alias")).where("alias is not null and alias <> ''")
     # min over (row, position) needs no sort and is summed before the shuffle
     return each.groupBy("alias").agg(F.min(F.struct("row_no", "pos")).alias("first")).select("alias", F.col("first.row_no").alias("row_no"), F.col("first.pos").alias("pos"))
@@ -82,5 +82,27 @@ def expected_tiles(width: float, cell: float, size: int, ratio: float) -> int:
 
 
 def number_rows(df: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
-    """Row numbers for small driver-side listings such as layers or option lists."""
+    """Row numbers from 1 by the order, for listings of names, layers or options."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
+def box_tiles(rasters: DataFrame, boxes: DataFrame, size: int, ratio: float) -> DataFrame:
+    """Boxes (raster_id, xmin, ymin, xmax, ymax and more) with each tile of their raster's grid that they
+    touch. Tiles lie on a lattice, so a box's tiles follow from its corners: no tile table is made or
+    shuffled, and one look-up of the raster is the only join. The box comes back as r_xmin and so on."""
+    step = size - overlap_pixels(size, ratio)
+    r = rasters.select("raster_id", F.col("xmin").alias("_x"), F.col("ymin").alias("_y"), (step * F.col("cell_x")).alias("_sx"), (step * F.col("cell_y")).alias("_sy"), (size * F.col("cell_x")).alias("_w"), (size * F.col("cell_y")).alias("_h"), tile_count("xmin", "xmax", step * F.col("cell_x")).alias("_nx"), tile_count("ymin", "ymax", step * F.col("cell_y")).alias("_ny")).where("_nx > 0 and _ny > 0")
+    named = boxes.withColumnsRenamed({c: f"r_{c}" for c in ("xmin", "ymin", "xmax", "ymax")})
+    j = named.join(r, "raster_id")
+
+    def places(low: str, high: str, start: str, step_: str, width: str, n: str):
+        # One more on each side than the division gives; touch() below decides.
+        first = F.greatest(F.ceil((F.col(low) - F.col(start) - F.col(width)) / F.col(step_)).cast("long") - 1, F.lit(0))
+        last = F.least(F.floor((F.col(high) - F.col(start)) / F.col(step_)).cast("long") + 1, F.col(n) - 1)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    j = j.withColumn("_iy", F.explode(places("r_ymin", "r_ymax", "_y", "_sy", "_h", "_ny"))).withColumn("_ix", F.explode(places("r_xmin", "r_xmax", "_x", "_sx", "_w", "_nx")))
+    x, y = F.col("_x") + F.col("_ix") * F.col("_sx"), F.col("_y") + F.col("_iy") * F.col("_sy")
+    tiles = j.withColumns({"tile_id": F.col("_iy") * F.col("_nx") + F.col("_ix") + 1, "xmin": x, "ymin": y, "xmax": x + F.col("_w"), "ymax": y + F.col("_h")})
+    touch = (F.col("xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("ymax"))
+    return tiles.where(touch).drop("_x", "_y", "_sx", "_sy", "_w", "_h", "_nx", "_ny", "_iy", "_ix")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import point
@@ -43,13 +43,24 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as boxes on their part's raster; they may reach beyond it."""
+    """Line items as boxes on their part's raster; they may reach beyond it. det_id is made of the keys
+    and a number within equal ones, so it is the same in every evaluation."""
     r = rasters(spark, sf_dir).select("raster_id", "cols", "rows")
-    j = read(spark, sf_dir, "lineitem").join(r, F.col("l_partkey") == F.col("raster_id"))
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_discount", "l_returnflag")
+    items = read(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(same))
+    j = items.join(r, F.col("l_partkey") == F.col("raster_id"))
     x = ((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 101) % F.col("cols")).cast("double")
     y = ((F.col("l_orderkey") * 53 + F.col("l_linenumber") * 211) % F.col("rows")).cast("double")
     kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    return j.select("raster_id", kind.alias("class_id"), (F.lit(0.5) + F.col("l_discount") * 5).alias("confidence"), x.alias("xmin"), y.alias("ymin"), (x + F.col("l_quantity")).alias("xmax"), (y + F.col("l_quantity")).alias("ymax"))
+    det_id = F.col("l_orderkey").cast("long") * 10_000 + F.col("l_linenumber") * 1_000 + F.col("rn")
+    return j.select("raster_id", det_id.alias("det_id"), kind.alias("class_id"), (F.lit(0.5) + F.col("l_discount") * 5).alias("confidence"), x.alias("xmin"), y.alias("ymin"), (x + F.col("l_quantity")).alias("xmax"), (y + F.col("l_quantity")).alias("ymax"))
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as annotation shapes of one ring."""
+    b = boxes(spark, sf_dir)
+    ring = F.array(point(F.col("xmin"), F.col("ymin")), point(F.col("xmax"), F.col("ymin")), point(F.col("xmax"), F.col("ymax")), point(F.col("xmin"), F.col("ymax")))
+    return b.select("raster_id", F.col("det_id").alias("shape_no"), "class_id", F.array(ring).alias("rings"))
 
 
 def grid_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -36,4 +36,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: iterative operators cut their lineage so."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a table that table() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._table_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -48,7 +48,8 @@ def stem(path: Column) -> Column:
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """split, stem, line_no, line of label files <path>/<split>/labels/*.txt; an empty file has one
     row without a line."""
-    raw = spark.read.text(f"{path}/*/labels/*.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    files = spark.read.format("binaryFile").load(f"{path}/*/labels/*.txt")  # empty files too
+    raw = files.select(F.decode("content", "UTF-8").alias("value"), F.col("path").alias("file"))
     rows = raw.select(F.element_at(F.split("file", "/"), -3).alias("split"), stem(F.col("file")).alias("stem"), F.posexplode_outer(F.split("value", r"\r?\n")).alias("line_no", "line"))
     return rows.withColumn("line", F.when(F.length(F.trim("line")) > 0, F.col("line")))
 

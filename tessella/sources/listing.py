@@ -78,17 +78,98 @@ def load_config(path: str) -> dict:
 
 
 def option(config: dict, group: str, name: str) -> dict:
-    """An option as a record, whichever way it is written. A bare true has probability 1."""
+    """An option as a record, whichever way it is written. A bare true always acts, with value 1; a
+    record without a probability never does; ends of a range may come in either order."""
     v = (config.get(group) or {}).get(name)
-    if isinstance(v, dict):
-        return {"enabled": bool(v.get("enabled", False)), "value": float(v.get("value", 0)), "value_min": float(v.get("value_min", v.get("value", 0))), "value_max": float(v.get("value_max", v.get("value", 0))), "prob": float(v.get("prob", 1.0))}
-    return {"enabled": bool(v), "value": 0.0, "value_min": 0.0, "value_max": 0.0, "prob": 1.0 if v else 0.0}
+    if not isinstance(v, dict):
+        on = truth(v)
+        return {"enabled": on, "value": 1.0, "value_min": 1.0, "value_max": 1.0, "prob": 1.0 if on else 0.0}
+    value = number(v.get("value"), 0.0)
+    low, high = sorted((number(v.get("value_min"), value), number(v.get("value_max"), value)))
+    return {"enabled": truth(v.get("enabled")), "value": value, "value_min": low, "value_max": high, "prob": number(v.get("prob"), 0.0)}
+
+
+def number(v, default: float) -> float:
+    try:
+        return float(v)
+    except (TypeError, ValueError):
+        return default
+
+
+def truth(v) -> bool:
+    return v.strip().lower() in ("1", "true", "yes", "on") if isinstance(v, str) else bool(v)
+
+
+def options_of(config: dict) -> dict[str, dict]:
+    """Every option of the four groups by its name, in the groups' order."""
+    return {n: option(config, g, n) for g in GROUPS for n in (config.get(g) or {})}
 
 
 def option_on(v: dict) -> bool:
     return v["enabled"] and v["prob"] > 0
 
 
+def random_on(config: dict) -> bool:
+    """Whether any option that acts at random is on; exact turns and flips aren't random."""
+    return any(option_on(o) for n, o in options_of(config).items() if n not in EXACT)
+
+
+#: The groups of a configuration, and the options that make exact variants.
+GROUPS = ("geometry", "color", "noise", "advanced")
+EXACT = ("rotate_90_cw", "rotate_180", "rotate_270_cw", "flip_horizontal", "flip_vertical")
+
+
+def exact_tags(config: dict) -> tuple[str, ...]:
+    """The exact variants that a configuration turns on, a flip with a turn included."""
+    geometry = config.get("geometry") or {}
+    on = {t for t, n in zip(("rot90", "rot180", "rot270", "fliph", "flipv"), EXACT, strict=True) if truth(geometry.get(n))}
+    return tuple(t for t in ("rot90", "rot180", "rot270", "fliph", "flipv", "fliph_rot90", "fliph_rot270") if all(part in on for part in t.split("_")))
+
+
+def existing(*paths: str) -> str | None:
+    """The first path that exists."""
+    return next((p for p in paths if Path(p).exists()), None)
+
+
+def grid_path(tiles: str, file: str = "Tile_Grid_Pixels.parquet") -> str | None:
+    """The grid table beside a tiles folder's images, or one folder up."""
+    return existing(str(Path(tiles) / "shapes" / file), str(Path(tiles).parent / "shapes" / file))
+
+
+def read_summary(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """Images and labels of a built dataset: from its summary, else by counting its files."""
+    path = Path(folder) / "dataset_build_summary.json"
+    try:
+        got = json.loads(path.read_text(encoding="utf-8"))
+        return int(got.get("total_images", 0)), int(got.get("total_labels", 0))
+    except (OSError, ValueError, TypeError, AttributeError):
+        return count_files(folder)
+
+
+def count_files(folder: str) -> tuple[int, int]:
+    """Image files and label files of the three splits."""
+    of = lambda kind: (p for s in ("train", "valid", "test") for p in (Path(folder) / s / kind).glob("*"))
+    images = sum(p.suffix.lower().removeprefix(".") in IMAGE_EXTENSIONS for p in of("images"))
+    return images, sum(p.suffix == ".txt" for p in of("labels"))
+
+
+def unite(*listings: DataFrame) -> DataFrame:
+    """Paths of several listings, each once."""
+    out = listings[0]
+    for more in listings[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def concat_groups(groups: dict[str, DataFrame]) -> DataFrame:
+    """Option groups one after the other, with the group's name and place."""
+    out = None
+    for k, (name, rows) in enumerate(groups.items()):
+        own = rows.withColumn("group", F.lit(name)).withColumn("group_no", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def load_preset(path: str) -> list[dict]:
     return json.loads(Path(path).read_text(encoding="utf-8")).get("options", [])
 
