@@ -70,6 +70,18 @@ def test_overlaps_and_empty(spark, tmp_path):
     assert jj.join(empty).count() == 0 and jj.apply(empty).count() == 0
 
 
+def test_null_ids_and_other_splits_of_the_files(spark, tmp_path):
+    rows = [(None, "a b c d e f g"), (3, "A b c d e f g"), (None, "x"), (4, "x"), (4, None), *made(8, 60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "n"))
+    docs = spark.read.parquet(str(tmp_path / "n"))
+    seen = []
+    for size in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        seen.append((sorted(map(str, jj.join(docs).select("doc_id", "class_id", "n_links", "first").collect())), sorted(map(str, jj.apply(docs).collect()))))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and "Row(doc_id=3, class_id=None, n_links=1, first=False)" in seen[0][0] and "Row(doc_id=4, class_id=None, n_links=1, first=False)" in seen[0][0]
+
+
 def test_near_copies_among_frequent_passages(spark, tmp_path):
     """With the constants as they are: each text is 60 of 100 passages, so no shingle tells few texts
     apart and last buckets hold more than BUCKET texts; every tenth swaps 5 of its predecessor's."""

@@ -101,3 +101,22 @@ def test_stages_return_documents(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert tuple(out.columns) == cp.COLUMNS and out.count() == 0
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark, tmp_path):
+    """Columns that operators use inside are ignored in documents; long texts and lines stay whole."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 7))) for _ in range(3000)]
+    long = " ".join(r.choices(words, k=60_000))
+    lines = "\n".join(" ".join(r.choices(words, k=12)) for _ in range(4000))
+    rows = [(1, long, "en", "s", len(long)), (2, lines, "en", "s", len(lines)), (3, long + " end", "en", "s", 1), (4, "x " * 50, "en", "s", 100), (None, "lone words here", "en", "s", 1), (5, "", "en", "s", 0), (6, None, None, None, None)]
+    clash = ", ".join(f"{k} as {c}" for k, c in enumerate(("loc", "`row`", "score", "predicted", "_kept", "key", "label", "rid", "dropped", "spans", "held_out", "node")))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).selectExpr("*", *clash.split(", ")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    hf = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {}
+    for x in cp.run(spark, str(tmp_path)).collect():
+        got[x.doc_id] = got.get(x.doc_id, 0) + x.length
+    n = lambda t: len(hf.encode(t, add_special_tokens=False).ids) + 1
+    # 3 holds one line that is like the line of 1, so nothing is left of it, like 5 and 6; each of the empty ones stays.
+    assert got == {1: n(long), 2: n(lines), 3: 1, 4: n("x " * 50), None: n("lone words here"), 5: 1, 6: 1}
