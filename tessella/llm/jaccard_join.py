@@ -128,20 +128,22 @@ def _sketch():
     of = Shingler()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digest, size, sketch, paths = [], [], [], []
+        digest, size, sketch, low, paths = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             s = of(text or "")
             size.append(len(s))
             if not len(s):
                 digest.append(None)
                 sketch.append(None)
+                low.append(None)
                 paths.append([])
                 continue
             e = embed(s)
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             sketch.append(e.tobytes())
+            low.append(e.astype(np.uint8).tobytes())  # the low bytes are enough for brute force
             paths.append(chosen(_ROOTS, np.broadcast_to(e, (RUNS, TOKENS)))[0].view(np.int64))
-        return pa.record_batch([batch.column("loc"), batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], names=["loc", "doc_id", "digest", "size", "sketch", "paths"])
+        return pa.record_batch([batch.column("loc"), batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(low, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], names=["loc", "doc_id", "digest", "size", "sketch", "bytes", "paths"])
 
     return work
 
@@ -296,14 +298,12 @@ def _join(plain: DataFrame) -> DataFrame:
 
 
 def _classes(plain: DataFrame) -> DataFrame:
-    sketches = arrow_pass(plain, _sketch, "loc struct<f:long,r:long>, doc_id long, digest binary, size int, sketch binary, paths array<long>")
+    sketches = arrow_pass(plain, _sketch, "loc struct<f:long,r:long>, doc_id long, digest binary, size int, sketch binary, bytes binary, paths array<long>")
     # Rows are numbered once, in the table that every later pass reads.
     rows = materialize(sketches.withColumn("rid", F.monotonically_increasing_id()), "sketches")
     n_rows = rows.count()
     same = materialize(rows.where("size > 0").groupBy("digest").agg(F.min("rid").alias("node"), F.count("*").alias("n"), F.min(F.struct("doc_id", "rid")).alias("best")), "sets")
-    # The embedding's low bytes are enough for brute force.
-    low = F.expr("array_join(transform(sequence(0, 127), k -> substr(hex(sketch), 8 * k + 1, 2)), '')")
-    nodes = materialize(rows.select(F.col("rid").alias("node"), "loc", "sketch", "paths").join(same.select("node"), "node", "left_semi").withColumn("bytes", F.unhex(low)), "nodes")
+    nodes = materialize(rows.select(F.col("rid").alias("node"), "loc", "sketch", "bytes", "paths").join(same.select("node"), "node", "left_semi"), "nodes")
     label = components(_candidates(nodes))
 
     counts = label.groupBy("label").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
