@@ -121,7 +121,8 @@ def _split(spark: SparkSession, root: str, split: str) -> DataFrame | None:
     lines = labels.read_labels(spark, root).where(F.col("split") == split).withColumn("o", labels.parse_object(F.col("line")))
     objects = lines.groupBy("stem").agg(F.sort_array(F.collect_list(F.when(F.col("o").isNotNull(), F.struct("line_no", "o")))).alias("l"))
     own = objects.select("stem", F.transform("l", lambda x: x["o"]).cast(variants.OBJECTS).alias("objects"))
-    return pixels.join(own, "stem").withColumn("image_id", F.abs(F.xxhash64("stem")))
+    whole = pixels.join(labels.label_stems(spark, root, split), "stem").join(own, "stem", "left")
+    return whole.withColumn("objects", F.coalesce("objects", F.array().cast(variants.OBJECTS))).withColumn("image_id", F.abs(F.xxhash64("stem")))
 
 
 def augment(spark: SparkSession, args: argparse.Namespace) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +48,19 @@ def stem(path: Column) -> Column:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """split, stem, line_no, line of label files <path>/<split>/labels/*.txt; an empty file has one
-    row without a line."""
-    files = spark.read.format("binaryFile").load(f"{path}/*/labels/*.txt")  # empty files too
-    raw = files.select(F.decode("content", "UTF-8").alias("value"), F.col("path").alias("file"))
+    """split, stem, line_no, line of label files <path>/<split>/labels/*.txt; blank lines are null. Files
+    without a byte have no row, as Spark passes over them; label_stems() names them too."""
+    raw = spark.read.text(f"{path}/*/labels/*.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     rows = raw.select(F.element_at(F.split("file", "/"), -3).alias("split"), stem(F.col("file")).alias("stem"), F.posexplode_outer(F.split("value", r"\r?\n")).alias("line_no", "line"))
     return rows.withColumn("line", F.when(F.length(F.trim("line")) > 0, F.col("line")))
 
 
+def label_stems(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """stem of each label file of a split, by listing."""
+    names = sorted(p.stem for p in Path(path, split, "labels").glob("*.txt"))
+    return spark.createDataFrame([(n,) for n in names], "stem string")
+
+
 def label_classes(lines: DataFrame) -> DataFrame:
     """split, stem, classes: what with_labels() joins."""
     return lines.groupBy("split", "stem").agg(F.collect_list(parse_class(F.col("line"))).alias("classes"))
