@@ -47,13 +47,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return dataset.split_assign(fx.images(spark, d), fx.TRAIN, fx.VAL, fx.SEED)
 
 
-@query("split_stats", f"""WITH {_INDEX} SELECT split, count(*) AS images, count(*) FILTER (has_label) AS label_files, count(*) FILTER (NOT has_label) AS missing,
-  count(*) FILTER (len(classes) = 0) AS empty, count(*) FILTER (len(classes) > 0) AS with_objects, CAST(sum(len(classes)) AS BIGINT) AS objects,
-  (SELECT string_agg(concat(class_id, ':', k), ',' ORDER BY class_id) FROM (SELECT i.class_id, count(*) AS k FROM idx i WHERE i.split = samples.split GROUP BY i.class_id)) AS class_objects FROM samples GROUP BY split""")
+@query("split_stats", f"""WITH {_SAMPLES} SELECT split, count(*) AS images, count(*) FILTER (has_label) AS label_files, count(*) FILTER (NOT has_label) AS missing,
+  count(*) FILTER (len(classes) = 0) AS empty, count(*) FILTER (len(classes) > 0) AS with_objects, CAST(sum(len(classes)) AS BIGINT) AS objects FROM samples GROUP BY split""")
+def _(spark, d):
+    return stats.split_stats(fx.samples(spark, d))
+
+
+@query("class_objects", f"WITH {_INDEX}, k AS (SELECT split, class_id, count(*) AS n FROM idx GROUP BY split, class_id) SELECT split, string_agg(concat(class_id, ':', n), ',' ORDER BY class_id) AS class_objects FROM k GROUP BY split")
 def _(spark, d):
-    s = fx.samples(spark, d)
     each = F.transform(F.map_entries("class_objects"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
-    return stats.split_stats(s).join(stats.class_counts(s), "split", "left").withColumn("class_objects", F.array_join(each, ","))
+    return stats.class_counts(fx.samples(spark, d)).withColumn("class_objects", F.array_join(each, ","))
 
 
 @query("class_share", f"WITH {_INDEX} SELECT split, class_id, samples AS objects, samples * CAST(100.0 AS DOUBLE) / sum(samples) OVER (PARTITION BY split) AS share FROM per_class")
@@ -151,11 +154,16 @@ def _(spark, d):
     return writers.build_summary(dataset.totals(fx.samples(spark, d)), ["quality", "toxic"], "Detection")
 
 
-@query("tile_grid", f"""WITH {_TILES}, c AS (SELECT *, CAST(xmin AS BIGINT) AS a, CAST(ymin AS BIGINT) AS b, CAST(xmax AS BIGINT) AS c, CAST(ymax AS BIGINT) AS d FROM tiles)
- SELECT raster_id, tile_id, concat('tile_', tile_id) AS tile_name, xmin, ymin, xmax, ymax, concat(a, ' ', b, ',', c, ' ', b, ',', c, ' ', d, ',', a, ' ', d, ',', a, ' ', b) AS ring FROM c""")
+@query("tile_grid", f"WITH {_TILES} SELECT raster_id, tile_id, concat('tile_', tile_id) AS tile_name, xmin, ymin, xmax, ymax FROM tiles")
+def _(spark, d):
+    return tiling.tile_grid(fx.rasters(spark, d), SIZE, RATIO)
+
+
+@query("tile_rings", f"""WITH {_TILES}, c AS (SELECT *, CAST(xmin AS BIGINT) AS a, CAST(ymin AS BIGINT) AS b, CAST(xmax AS BIGINT) AS c, CAST(ymax AS BIGINT) AS d FROM tiles)
+ SELECT raster_id, tile_id, concat(a, ' ', b, ',', c, ' ', b, ',', c, ' ', d, ',', a, ' ', d, ',', a, ' ', b) AS ring FROM c""")
 def _(spark, d):
-    whole = lambda p: F.concat_ws(" ", p["x"].cast("long").cast("string"), p["y"].cast("long").cast("string"))
-    return tiling.with_ring(tiling.tile_grid(fx.rasters(spark, d), SIZE, RATIO)).withColumn("ring", F.array_join(F.transform("ring", whole), ","))
+    text = lambda p: F.concat_ws(" ", p["x"].cast("long").cast("string"), p["y"].cast("long").cast("string"))
+    return tiling.with_ring(tiling.tile_grid(fx.rasters(spark, d), SIZE, RATIO)).select("raster_id", "tile_id", F.array_join(F.transform("ring", text), ",").alias("ring"))
 
 
 @query("tile_stats", f"WITH {_TILES} SELECT count(*) AS total_tiles, 77 AS overlap_px FROM tiles")
