@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geometry as geo
 from tessella.functions import scalars as sc
-from tessella.operators import augment, balance, dataset, features, imageops, spatial, stats, tiling, variants
+from tessella.operators import augment, balance, dataset, features, imageops, stats, tiling, variants
 from tessella.plans import adapters as fx
 from tessella.registry import ORACLE_SQL, QUERIES, query
 from tessella.sinks import writers
@@ -188,8 +188,7 @@ def _(spark, d):
  FROM j WHERE x2 > x1 AND y2 > y1""")
 def _(spark, d):
     j = tiling.box_tiles(fx.rasters(spark, d), fx.boxes(spark, d), SIZE, RATIO)
-    b = geo.unit_box(spatial.boxes_of(), spatial.boxes_of("r_"))
-    return j.withColumn("b", b).where("b is not null").select("raster_id", "tile_id", "class_id", "b.cx", "b.cy", "b.w", "b.h")
+    return geo.unit_boxes(j).select("raster_id", "tile_id", "class_id", "cx", "cy", "w", "h")
 
 
 @query("polygon_area", f"""WITH {_POLYGONS} SELECT vec_id, round(abs(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].x * p[i % len(p) + 1].y - p[i % len(p) + 1].x * p[i].y))) / 2, 9) AS area FROM polys""")

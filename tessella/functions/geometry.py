@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import clamp
@@ -107,6 +107,17 @@ def unit_box(t: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.when(ok & (out["w"] > 0) & (out["h"] > 0), out)
 
 
+def unit_boxes(pairs: DataFrame) -> DataFrame:
+    """Rows of a tile's box (xmin and so on) and another (r_xmin and so on) with cx, cy, w, h as
+    unit_box() gives them; pairs without a common area go. In two steps, so that what an expression uses
+    often is a filter's input and stays small."""
+    c = F.col
+    cut = pairs.withColumns({"_x1": F.greatest("r_xmin", "xmin"), "_y1": F.greatest("r_ymin", "ymin"), "_x2": F.least("r_xmax", "xmax"), "_y2": F.least("r_ymax", "ymax")}).where("_x2 > _x1 and _y2 > _y1")
+    w, h = c("xmax") - c("xmin"), c("ymax") - c("ymin")
+    sides = {"cx": ((c("_x1") + c("_x2")) * 0.5 - c("xmin")) / w, "cy": (c("ymax") - (c("_y1") + c("_y2")) * 0.5) / h, "w": (c("_x2") - c("_x1")) / w, "h": (c("_y2") - c("_y1")) / h}
+    return cut.withColumns(sides).drop("_x1", "_y1", "_x2", "_y2")
+
+
 def corners(cx: Column, cy: Column, w: Column, h: Column) -> Column:
     x1, y1, x2, y2 = cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2
     return F.array(point(x1, y1), point(x2, y1), point(x2, y2), point(x1, y2))

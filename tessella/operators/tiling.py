@@ -95,14 +95,15 @@ def box_tiles(rasters: DataFrame, boxes: DataFrame, size: int, ratio: float) ->
     named = boxes.withColumnsRenamed({c: f"r_{c}" for c in ("xmin", "ymin", "xmax", "ymax")})
     j = named.join(r, "raster_id")
 
-    def places(low: str, high: str, start: str, step_: str, width: str, n: str):
-        # One more on each side than the division gives; touch() below decides.
+    def places(low: str, high: str, start: str, step_: str, width: str, n: str) -> Column:
+        # One more on each side than the division gives; the comparison with the tile's ends decides.
         first = F.greatest(F.ceil((F.col(low) - F.col(start) - F.col(width)) / F.col(step_)).cast("long") - 1, F.lit(0))
         last = F.least(F.floor((F.col(high) - F.col(start)) / F.col(step_)).cast("long") + 1, F.col(n) - 1)
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-
-    j = j.withColumn("_iy", F.explode(places("r_ymin", "r_ymax", "_y", "_sy", "_h", "_ny"))).withColumn("_ix", F.explode(places("r_xmin", "r_xmax", "_x", "_sx", "_w", "_nx")))
-    x, y = F.col("_x") + F.col("_ix") * F.col("_sx"), F.col("_y") + F.col("_iy") * F.col("_sy")
-    tiles = j.withColumns({"tile_id": F.col("_iy") * F.col("_nx") + F.col("_ix") + 1, "xmin": x, "ymin": y, "xmax": x + F.col("_w"), "ymax": y + F.col("_h")})
-    touch = (F.col("xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("ymax"))
-    return tiles.where(touch).drop("_x", "_y", "_sx", "_sy", "_w", "_h", "_nx", "_ny", "_iy", "_ix")
+        ends = lambda i: F.struct(i.alias("i"), (F.col(start) + i * F.col(step_)).alias("low"), (F.col(start) + i * F.col(step_) + F.col(width)).alias("high"))
+        near = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.filter(F.transform(near, ends), lambda t: (t["low"] <= F.col(high)) & (F.col(low) <= t["high"]))
+
+    # Ends are fields of exploded rows, so what is computed from them names them once.
+    j = j.withColumn("_ty", F.explode(places("r_ymin", "r_ymax", "_y", "_sy", "_h", "_ny"))).withColumn("_tx", F.explode(places("r_xmin", "r_xmax", "_x", "_sx", "_w", "_nx")))
+    tile_id = F.col("_ty.i") * F.col("_nx") + F.col("_tx.i") + 1
+    return j.withColumns({"tile_id": tile_id, "xmin": F.col("_tx.low"), "ymin": F.col("_ty.low"), "xmax": F.col("_tx.high"), "ymax": F.col("_ty.high")}).drop("_x", "_y", "_sx", "_sy", "_w", "_h", "_nx", "_ny", "_ty", "_tx")
