@@ -39,11 +39,11 @@ def _(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", sc.dataset_name(time, size, F.col("p_type"), size % 2 == 0, size % 3 == 0).alias("name"), sc.dataset_name(time, size, F.lit(None).cast("string"), F.lit(False), F.lit(False)).alias("plain"))
 
 
-@query("path_rules", """SELECT p_partkey, concat('/P', p_size, '/Detection_Results') AS deep, concat('/P', p_size, '/Detection_Results') AS beside, concat('C:\\P', p_size, '\\a.aprx') AS project, concat('c:\\p', p_size) AS key, CAST(NULL AS VARCHAR) AS none FROM part""")
+@query("path_rules", """SELECT p_partkey, concat('/P', p_size, '/Detection_Results') AS deep, concat('/P', p_size, '/Detection_Results') AS beside, concat('C:\\P', p_size, '\\a.prj') AS project, concat('c:\\p', p_size) AS key, CAST(NULL AS VARCHAR) AS none FROM part""")
 def _(spark, d):
     p = F.concat(F.lit("P"), F.col("p_size").cast("string"))
     at = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
-    return fx.read(spark, d, "part").select("p_partkey", sc.detection_root(at("/", p, "/Tiles/640px")).alias("deep"), sc.detection_root(at("/", p, "/tiles/")).alias("beside"), sc.project_path(at(" file:///C:/", p, "/a.aprx")).alias("project"), sc.project_key(at(" C:/", p, " ")).alias("key"), sc.project_path(F.lit("")).alias("none"))
+    return fx.read(spark, d, "part").select("p_partkey", sc.detection_root(at("/", p, "/Tiles/640px")).alias("deep"), sc.detection_root(at("/", p, "/tiles/")).alias("beside"), sc.project_path(at(" file:///C:/", p, "/a.prj")).alias("project"), sc.project_key(at(" C:/", p, " ")).alias("key"), sc.project_path(F.lit("")).alias("none"))
 
 
 _STEP = "CASE WHEN span <= CAST(0.01 AS DOUBLE) THEN CAST(0.0001 AS DOUBLE) WHEN span <= 1 THEN CAST(0.001 AS DOUBLE) WHEN span <= 10 THEN CAST(0.1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END"
