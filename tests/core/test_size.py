@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella import catalog
 from tessella.functions import geometry as geo
-from tessella.operators import annotate, features, variants
+from tessella.operators import annotate, features, imageops, variants
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +68,13 @@ def test_images_are_not_broadcast(spark):
     text = variants.samples_with_donors(catalog._samples(spark, SF), 2, 7)._jdf.queryExecution().executedPlan().toString()
     sent = [line for line in text.split("\n") if "BroadcastHashJoin" in line and ("donor" in line or "copy" in line)]
     assert not sent
+
+
+def test_tiles_leave_in_large_batches(spark):
+    images = spark.createDataFrame([(k, 20, 30, bytes(np.random.default_rng(k).integers(0, 256, 1800).astype(np.uint8))) for k in range(3)], "image_id long, height int, width int, data binary")
+    cut = imageops.cut_tiles(images, 16, 11)
+    assert "MapInArrow" in cut._jdf.queryExecution().executedPlan().toString()
+    got = {(r.image_id, r.tile_id): bytes(r.png) for r in cut.collect()}
+    assert sorted(got) == [(k, t) for k in range(3) for t in range(1, 7)]
+    img = np.random.default_rng(2).integers(0, 256, 1800).astype(np.uint8).reshape(20, 30, 3)[::-1]
+    assert got[2, 5] == imageops.to_png(imageops.tile(img, 11, 11, 16)[::-1])
