@@ -8,7 +8,10 @@ copies. Each node is embedded as TOKENS MinHash values; the tree of chosen paths
   by a hash of run, path and token, so similar nodes take shared tokens alike; each taken token is a
   bucket of the next level.
 - Buckets of at most BUCKET nodes are compared by brute force. Larger ones are split further, and
-  their nodes are compared with the bucket's least node, which is enough where all are alike.
+  their nodes are compared with the bucket's least node, which is enough where all are alike: a
+  bucket of nodes that were all linked to the least node of the one before it goes. A node that
+  shares too few of its values with all others of a bucket together to be near any of them goes
+  no further there, in buckets of up to GATHERED nodes; larger ones are split whole.
   What is large after LEVELS splits is compared block by block, so no pair of a bucket is left out;
   a bucket of many nodes that are unlike its least node costs the square of their number.
 - Two nodes at the threshold share a bucket of level 1 with probability 1 - 1/e in a run, of deeper
@@ -67,6 +70,10 @@ _PLACES = np.arange(1, TOKENS + 1, dtype=np.uint64) * _Q
 _TAKE = np.uint64(min(2**64 - 1, int(2**64 / (THRESHOLD * TOKENS))))
 #: The least share of equal embedded values at which two nodes are candidates.
 CANDIDATE = THRESHOLD - MARGIN * (THRESHOLD * (1 - THRESHOLD) / TOKENS) ** 0.5
+#: Nodes of a bucket that one task holds at most, at TOKENS * 4 bytes each.
+GATHERED = 1 << 15
+#: Values that a candidate shares at least: brute force may take up to 4 more as equal, by their low bytes.
+SHARED = math.ceil(CANDIDATE * TOKENS) - 4
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -191,18 +198,50 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], names=["a", "b"])
 
 
+def _split(batch: pa.RecordBatch, e: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    """Of nodes of large buckets with their embeddings and those of their buckets' least nodes: whether they
+    are linked to that, and the next paths."""
+    near = (e == p).mean(1) >= CANDIDATE
+    path = batch.column("path").to_numpy().view(np.uint64)
+    nxt, row = chosen(path, e)
+    split = np.split(nxt.view(np.int64), np.cumsum(np.bincount(row, minlength=len(path)))[:-1])
+    return pa.record_batch([batch.column("path"), batch.column("node"), batch.column("pivot"), pa.array(near), pa.array(split, pa.list_(pa.int64()))], names=["path", "node", "pivot", "near", "paths"])
+
+
 def _large():
-    """Of the nodes of large buckets: the link to the bucket's least node, and the next paths."""
+    return lambda batch: _split(batch, _matrix(batch.column("sketch"), np.uint32), _matrix(batch.column("pivot_sketch"), np.uint32))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e, p = _matrix(batch.column("sketch"), np.uint32), _matrix(batch.column("pivot_sketch"), np.uint32)
-        near = (e == p).mean(1) >= CANDIDATE
-        path = batch.column("path").to_numpy().view(np.uint64)
-        nxt, row = chosen(path, e)
-        split = np.split(nxt.view(np.int64), np.cumsum(np.bincount(row, minlength=len(path)))[:-1])
-        return pa.record_batch([batch.column("path"), batch.column("node"), batch.column("pivot"), pa.array(near), pa.array(split, pa.list_(pa.int64()))], names=["path", "node", "pivot", "near", "paths"])
 
-    return work
+def shared_values(e: np.ndarray) -> np.ndarray:
+    """How many of each row's values another row has at the same place."""
+    out = np.zeros(len(e), int)
+    for column in e.T:
+        _, place, counts = np.unique(column, return_inverse=True, return_counts=True)
+        out += counts[place] > 1
+    return out
+
+
+def possible(e: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """The rows that may be near another: each shares SHARED of its values with the others that are left.
+    Another round only finds more to leave out."""
+    kept = np.arange(len(e))
+    for _ in range(rounds):
+        ok = shared_values(e[kept]) >= SHARED
+        kept = kept[ok]
+        if ok.all():
+            break
+    return kept
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _large, of whole buckets, without the nodes that can be near no other of theirs."""
+    for bucket in grouped(batches, ["path"]):
+        e = _matrix(bucket.column("sketch"), np.uint32)
+        least = e[np.argmin(bucket.column("node").to_numpy())]
+        kept = possible(e)
+        for at in range(0, len(kept), 1024):
+            own = kept[at : at + 1024]
+            yield _split(bucket.take(pa.array(own)), e[own], least)
 
 
 def _blocks(large: DataFrame, few: DataFrame) -> DataFrame:
@@ -221,24 +260,29 @@ def _blocks(large: DataFrame, few: DataFrame) -> DataFrame:
 def _candidates(nodes: DataFrame) -> DataFrame:
     """(a, b): links of the embedding, enough to connect each component of candidates."""
     few = nodes.select("node", "bytes")
-    state, found = nodes.select("node", F.explode("paths").alias("path")), []
+    state, found = nodes.select("node", F.lit(False).alias("near"), F.explode("paths").alias("path")), []
     for level in range(1, LEVELS + 1):
-        sizes = state.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").withColumn("size", F.col("n"))
-        rows = materialize(join_counted(state, "path", sizes, state.count()), "paths")
+        # A path goes on from one bucket, so nodes that were all near are linked already, through its least node.
+        sizes = state.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.bool_and("near").alias("linked")).where("n > 1 and not linked").drop("linked").withColumn("size", F.col("n"))
+        rows = materialize(join_counted(state.drop("near"), "path", sizes, state.count()), "paths")
         small = rows.where(F.col("size") <= BUCKET).select("path", "node")
         met = small.join(few, "node").repartition("path").sortWithinPartitions("path")
         found.append(materialize(met.mapInArrow(_brute, "a long, b long"), "links"))
-        large = rows.where(F.col("size") > BUCKET).select("path", "node", "pivot")
+        large = rows.where(F.col("size") > BUCKET).select("path", "node", "pivot", "size")
         if large.isEmpty():
             drop_table(rows)
             break
-        own = nodes.select("node", "sketch")
-        compared = large.join(own, "node").join(own.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
-        after = materialize(arrow_pass(compared, _large, "path long, node long, pivot long, near boolean, paths array<long>", rows=1024), "large")
+        own, columns = nodes.select("node", "sketch"), "path long, node long, pivot long, near boolean, paths array<long>"
+        compared = large.where(F.col("size") > GATHERED).drop("size").join(own, "node").join(own.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+        held = large.where(F.col("size") <= GATHERED).drop("size").join(own, "node").repartition("path").sortWithinPartitions("path")
+        after = held.mapInArrow(_gathered, columns)
+        if not large.where(F.col("size") > GATHERED).isEmpty():
+            after = after.unionAll(arrow_pass(compared, _large, columns, rows=1024))
+        after = materialize(after, "large")
         found.append(after.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         if level == LEVELS:
             found.append(materialize(_blocks(after, few), "links"))
-        state = after.select("node", F.explode("paths").alias("path"))
+        state = after.select("node", "near", F.explode("paths").alias("path"))
         drop_table(rows)
     out = found[0]
     for f in found[1:]:

@@ -115,3 +115,38 @@ def test_runs_reach_the_target_at_full_depth():
             paths = np.intersect1d(x, y)
         met += len(paths) > 0
     assert met / n >= jj.TARGET - 0.02
+
+
+def test_texts_of_a_passage_alone_are_not_split_further(spark, tmp_path, monkeypatch):
+    """A passage of half of each text, in 400 texts, and 60 near copies of one of them, which are linked at once:
+    few rows go on from large buckets, and nothing is lost."""
+    r = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(60)])) for i in range(400)]
+    rows += [(1000 + k, rows[7][1] + f" end{k}") for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "q"))
+    made, real = [], jj.materialize
+
+    def counted(df, name, *a, **k):
+        out = real(df, name, *a, **k)
+        if name == "large":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jj, "materialize", counted)
+    got = jj.join(spark.read.parquet(str(tmp_path / "q"))).collect()
+    assert sorted((x.doc_id, x.class_id, x.n_links) for x in got) == truth(rows)[0]
+    assert sum(made) < 10 * len(rows)
+
+
+def test_possible_keeps_every_candidate():
+    r = np.random.default_rng(6)
+    e = r.integers(0, 1 << 32, (300, jj.TOKENS), dtype=np.uint32)
+    e[:, :40] = e[0, :40]  # a passage
+    for a, b in ((5, 9), (9, 70), (100, 200)):
+        e[b] = np.where(np.arange(jj.TOKENS) % 3 > 0, e[a], e[b])
+    near = (e[:, None, :] == e[None, :, :]).mean(2) >= jj.CANDIDATE
+    np.fill_diagonal(near, False)
+    kept = jj.possible(e)
+    assert set(np.flatnonzero(near.any(1)).tolist()) <= set(kept.tolist()) and len(kept) < 20
+    assert len(jj.possible(e[:0])) == 0
