@@ -29,10 +29,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_pass, bounds, drop_table, fresh_path, join_counted, local_least, located, materialize, overlaps, scratch, whole
+from tessella.llm.common import arrow_pass, bounds, drop_table, fresh_path, grouped, join_counted, local_least, located, materialize, overlaps, scratch, whole
 from tessella.llm.components import components
 
 SHINGLE, THRESHOLD = 6, 0.8
@@ -42,6 +42,8 @@ REMEMBERED = 500_000
 #: A band that more than HOT of a slice's lines share is dealt over 64 tasks. The low 7 bits of a band's
 #: hash are free for that: 0, or 1 and the part.
 SLICE, HOT, PART_BITS = 2048, 64, 7
+#: Bands that a task holds before it passes them on, 16 bytes each.
+PACKED = 1 << 20
 #: Lines of a block where lines apart meet the rest of a bucket.
 BLOCK = 256
 #: Codes signed at a time, so that temporary arrays stay in the cache, and characters of the lines whose
@@ -116,7 +118,8 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 def _banded():
     seen: set[int] = set()
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Slots (bands, and the parts of hot ones) and keys of a slice of lines."""
         fresh = {}
         for key, norm in zip(batch.column("key").to_pylist(), batch.column("norm").to_pylist(), strict=True):
             if key not in seen and key not in fresh:
@@ -134,11 +137,54 @@ def _banded():
             more = bands[hot][first], keys[hot][first]
             bands[hot] |= 1 | (keys[hot] & ((1 << PART_BITS) - 2))
             bands, keys = np.concatenate([bands, more[0]]), np.concatenate([keys, more[1]])
-        return pa.record_batch([pa.array(bands), pa.array(keys)], names=["slot", "key"])
+        return bands, keys
 
     return work
 
 
+def _packed(slots: np.ndarray, keys: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Slots and keys as bytes, a row for each part of the slots that has any."""
+    with np.errstate(over="ignore"):
+        part = ((slots.view(np.uint64) * _MIX) >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    found, counts = np.unique(part, return_counts=True)
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 8).buffers()[1]
+    blobs = [pa.Array.from_buffers(pa.binary(), len(found), [None, ends, pa.py_buffer(np.ascontiguousarray(x[order]))]) for x in (slots, keys)]
+    return pa.record_batch([pa.array(found.astype(np.int32)), *blobs], names=["part", "slots", "keys"])
+
+
+def _dealt(parts: int):
+    """Bands of lines, dealt to parts: so many go in few rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, held = _banded(), []
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                held.append(work(batch.slice(at, SLICE)))
+                if sum(len(x) for x, _ in held) >= PACKED:
+                    yield _packed(*map(np.concatenate, zip(*held, strict=True)), parts)
+                    held = []
+        if sum(len(x) for x, _ in held):
+            yield _packed(*map(np.concatenate, zip(*held, strict=True)), parts)
+
+    return run
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """band, key, least key of each slot's keys but the least; also of that in parts of hot bands."""
+    for group in grouped(batches, ["part"]):
+        slots, keys = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("slots", "keys"))
+        order = np.argsort(slots)
+        slots, keys = slots[order], keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+        least = np.repeat(np.minimum.reduceat(keys, starts), np.diff(np.append(starts, len(keys))))
+        kept = np.flatnonzero((keys != least) | (slots & 1 == 1))
+        band = slots[kept] & np.int64(-(1 << PART_BITS))
+        for at in range(0, len(kept), 1 << 16):
+            own = slice(at, at + (1 << 16))
+            yield pa.record_batch([pa.array(band[own]), pa.array(keys[kept[own]]), pa.array(least[kept[own]])], names=["band", "key", "least"])
+
+
 def shingles(line: str) -> set[str]:
     return {line[k : k + SHINGLE] for k in range(len(line) - SHINGLE + 1)} or {line}
 
@@ -198,11 +244,10 @@ def _verify(threshold: float):
 def _buckets(lines: DataFrame) -> DataFrame:
     """band, key, pivot of the lines that share a band with another; of buckets with the same
     lines one."""
-    bands = arrow_pass(lines.select("key", "norm"), _banded, "slot long, key long", rows=SLICE)
-    # A running minimum: rows stream by in order of their keys, and one shuffle serves all columns.
-    least = F.min("key").over(Window.partitionBy("slot").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    several = bands.withColumn("least", least).where("key <> least or slot % 2 <> 0")
-    rows = materialize(several.select(F.col("slot").bitwiseAND(F.lit(-(1 << PART_BITS))).alias("band"), "key", "least").distinct(), "bands")
+    parts = min(4096, max(64, 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = lines.select("key", "norm").mapInArrow(_dealt(parts), "part int, slots binary, keys binary")
+    several = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_several, "band long, key long, least long")
+    rows = materialize(several.distinct(), "bands")
     members = materialize(rows.select("band", "key").unionAll(rows.select("band", F.col("least").alias("key"))).distinct(), "members")
     drop_table(rows)
     digest = lambda salt: F.bit_xor(F.xxhash64("key", F.lit(salt)))

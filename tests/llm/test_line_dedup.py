@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,27 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e"))
     docs = spark.read.parquet(str(tmp_path / "e"))
     assert ld.dedup(docs).count() == 0 and ld.apply(docs).count() == 0
+
+
+def test_bands_go_in_few_rows(monkeypatch):
+    """Lines' bands reach their buckets in packed rows, and the buckets are those of all the bands."""
+    monkeypatch.setattr(ld, "PACKED", 3000)
+    monkeypatch.setattr(ld, "SLICE", 50)
+    r = random.Random(4)
+    lines = {k: f"line {r.randrange(10**9)} of {r.randrange(10**9)} words" for k in r.sample(range(-(10**9), 10**9), 300)}
+    lines |= {10**10 + k: x + "." * (k % 3) for k, x in enumerate(list(lines.values())[:100])}
+    lines |= {10**11 + k: "the same line in many variants " + "x" * (k % 5) for k in range(200)}
+    batch = pa.record_batch([pa.array(list(lines), pa.int64()), pa.array(list(lines.values()))], names=["key", "norm"])
+    dealt = list(ld._dealt(8)([batch]))
+    assert sum(b.num_rows for b in dealt) <= 8 * len(dealt) and len(dealt) <= 1 + len(lines) * ld.BANDS // 2000
+    rows = pa.Table.from_batches(dealt).sort_by("part").to_batches()
+    got = {(x["band"], x["key"], x["least"]) for b in ld._several(iter(rows)) for x in b.to_pylist()}
+    own = {}
+    for key, bands in zip(lines, ld.band_hashes(ld.signatures(list(lines.values()))).tolist(), strict=True):
+        for band in bands:
+            own.setdefault(band, set()).add(key)
+    members = {}
+    for band, key, least in got:
+        members.setdefault(band, set()).update((key, least))
+    assert {b: m for b, m in members.items() if len(m) > 1} == {b: m for b, m in own.items() if len(m) > 1}
+    assert list(ld._dealt(8)([])) == []
