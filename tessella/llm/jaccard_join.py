@@ -7,13 +7,16 @@ copies. Each node is embedded as TOKENS MinHash values; the tree of chosen paths
 - In each of RUNS runs a node takes each of its tokens with probability 1 / (THRESHOLD * TOKENS),
   by a hash of run, path and token, so similar nodes take shared tokens alike; each taken token is a
   bucket of the next level.
-- Buckets of at most BUCKET nodes are compared by brute force. Larger ones are split further, and
-  their nodes are compared with the bucket's least node, which is enough where all are alike: a
-  bucket of nodes that were all linked to the least node of the one before it goes. A node that
-  shares too few of its values with all others of a bucket together to be near any of them goes
-  no further there, in buckets of up to GATHERED nodes; larger ones are split whole.
+- Buckets of at most BUCKET nodes are compared by brute force. Of larger ones, up to GATHERED nodes,
+  a node that shares too few of its values with all others together to be near any of them goes.
+  The rest is compared with PIVOTS of its nodes, those of the most frequent values first, which is
+  enough for groups of near copies. If FEW nodes at most stand apart from the largest group that is
+  linked then, each is compared with all others and the bucket is done, at FEW comparisons a node;
+  else it is split further. Buckets over GATHERED are compared with their least node and split
+  whole. A bucket of nodes that were linked to one node in the one before it goes.
   What is large after LEVELS splits is compared block by block, so no pair of a bucket is left out;
-  a bucket of many nodes that are unlike its least node costs the square of their number.
+  a bucket of many nodes that stand apart from its largest group (over GATHERED: that are unlike its
+  least node) costs the square of their number.
 - Two nodes at the threshold share a bucket of level 1 with probability 1 - 1/e in a run, of deeper
   ones less often; RUNS is the least number of runs in which they share one of level LEVELS with
   probability TARGET (recall()). Closer ones are found more often.
@@ -74,6 +77,8 @@ CANDIDATE = THRESHOLD - MARGIN * (THRESHOLD * (1 - THRESHOLD) / TOKENS) ** 0.5
 GATHERED = 1 << 15
 #: Values that a candidate shares at least: brute force may take up to 4 more as equal, by their low bytes.
 SHARED = math.ceil(CANDIDATE * TOKENS) - 4
+#: Nodes of a large bucket that all of it is compared with first, and most others that are so then.
+PIVOTS, FEW = 16, 512
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -198,18 +203,29 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], names=["a", "b"])
 
 
-def _split(batch: pa.RecordBatch, e: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-    """Of nodes of large buckets with their embeddings and those of their buckets' least nodes: whether they
-    are linked to that, and the next paths."""
-    near = (e == p).mean(1) >= CANDIDATE
-    path = batch.column("path").to_numpy().view(np.uint64)
-    nxt, row = chosen(path, e)
-    split = np.split(nxt.view(np.int64), np.cumsum(np.bincount(row, minlength=len(path)))[:-1])
-    return pa.record_batch([batch.column("path"), batch.column("node"), batch.column("pivot"), pa.array(near), pa.array(split, pa.list_(pa.int64()))], names=["path", "node", "pivot", "near", "paths"])
+_SPLIT = "path long, node long, root long, near boolean, open boolean, paths array<long>"
+
+
+def _split(path: pa.Array, node: pa.Array, root: np.ndarray, near: np.ndarray, open_: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    """Nodes of large buckets with a node they are linked to (or themselves), whether they are near (in one group
+    that is linked), whether they go on, and the next paths of those that do."""
+    own = np.flatnonzero(open_)
+    nxt, row = chosen(path.to_numpy().view(np.uint64)[own], e[own])
+    ends = np.cumsum(np.bincount(own[row], minlength=len(e)))
+    paths = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(nxt.view(np.int64)))
+    return pa.record_batch([path, node, pa.array(root), pa.array(near), pa.array(open_), paths], names=["path", "node", "root", "near", "open", "paths"])
 
 
 def _large():
-    return lambda batch: _split(batch, _matrix(batch.column("sketch"), np.uint32), _matrix(batch.column("pivot_sketch"), np.uint32))
+    """Of nodes of large buckets with their embeddings and those of their buckets' least nodes."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        e = _matrix(batch.column("sketch"), np.uint32)
+        near = (e == _matrix(batch.column("pivot_sketch"), np.uint32)).mean(1) >= CANDIDATE
+        root = np.where(near, batch.column("pivot").to_numpy(), batch.column("root").to_numpy())
+        return _split(batch.column("path"), batch.column("node"), root, near, np.ones(len(e), bool), e)
+
+    return work
 
 
 def shared_values(e: np.ndarray) -> np.ndarray:
@@ -233,20 +249,53 @@ def possible(e: np.ndarray, rounds: int = 8) -> np.ndarray:
     return kept
 
 
+def through_pivots(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) of all rows near one of PIVOTS rows with it. Each pivot is the row, of those near none before,
+    whose values are the most frequent ones, so large groups of near copies come first."""
+    weight, todo, a, b = np.zeros(len(e), int), np.ones(len(e), bool), [], []
+    for column in e.T:
+        _, place, counts = np.unique(column, return_inverse=True, return_counts=True)
+        weight += counts[place]
+    for _ in range(PIVOTS):
+        if not todo.any():
+            break
+        pivot = int(np.argmax(np.where(todo, weight, -1)))
+        near = np.flatnonzero((e == e[pivot]).mean(1) >= CANDIDATE)
+        a.append(np.full(len(near), pivot))
+        b.append(near)
+        todo[near] = False
+    return np.concatenate([*a, np.empty(0, int)]), np.concatenate([*b, np.empty(0, int)])
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _large, of whole buckets, without the nodes that can be near no other of theirs."""
+    """As _large, of whole buckets, without the nodes that can be near no other of theirs. If FEW nodes at most
+    stand apart from the largest group of linked ones, each of them is compared with all, and none goes on."""
     for bucket in grouped(batches, ["path"]):
-        e = _matrix(bucket.column("sketch"), np.uint32)
-        least = e[np.argmin(bucket.column("node").to_numpy())]
-        kept = possible(e)
-        for at in range(0, len(kept), 1024):
-            own = kept[at : at + 1024]
-            yield _split(bucket.take(pa.array(own)), e[own], least)
+        bucket = bucket.take(pa.array(np.argsort(bucket.column("node").to_numpy())))
+        bucket = bucket.take(pa.array(possible(_matrix(bucket.column("sketch"), np.uint32))))
+        if not bucket.num_rows:
+            continue
+        e, nodes = _matrix(bucket.column("sketch"), np.uint32), bucket.column("node").to_numpy()
+        _, first, known = np.unique(bucket.column("root").to_numpy(), return_index=True, return_inverse=True)
+        a, b = through_pivots(e)
+        a, b = np.concatenate([first[known], a]), np.concatenate([np.arange(len(e)), b])
+        least = local_least(len(e), a, b)
+        near = least == np.argmax(np.bincount(least))
+        apart = np.flatnonzero(~near)
+        done = len(apart) <= FEW
+        if done:
+            hits = [np.flatnonzero((e == e[k]).mean(1) >= CANDIDATE) for k in apart]
+            least = local_least(len(e), np.concatenate([a, np.repeat(apart, [len(h) for h in hits])]), np.concatenate([b, *hits]))
+        out = np.flatnonzero(least != np.arange(len(e))) if done else np.arange(len(e))
+        for at in range(0, len(out), 1024):
+            own = out[at : at + 1024]
+            of = bucket.take(pa.array(own))
+            yield _split(of.column("path"), of.column("node"), nodes[least[own]], near[own], np.full(len(own), not done), e[own])
 
 
 def _blocks(large: DataFrame, few: DataFrame) -> DataFrame:
     """(a, b) of buckets that are large after all splits (path, node, near): all pairs of blocks of
-    BLOCK nodes meet, but for those of nodes near the pivot, which are linked through it."""
+    BLOCK nodes meet, but for those of near nodes, which are linked to each other already."""
     count = lambda c: F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("int")
     counts = large.groupBy("path").agg(F.count("*").alias("n"), count(~F.col("near")).alias("far"), count(F.col("near")).alias("close")).where("far > 0")
     dealt = join_counted(large.select("path", "node", "near"), "path", counts, large.count())
@@ -260,29 +309,30 @@ def _blocks(large: DataFrame, few: DataFrame) -> DataFrame:
 def _candidates(nodes: DataFrame) -> DataFrame:
     """(a, b): links of the embedding, enough to connect each component of candidates."""
     few = nodes.select("node", "bytes")
-    state, found = nodes.select("node", F.lit(False).alias("near"), F.explode("paths").alias("path")), []
+    state, found = nodes.select("node", F.col("node").alias("root"), F.explode("paths").alias("path")), []
     for level in range(1, LEVELS + 1):
-        # A path goes on from one bucket, so nodes that were all near are linked already, through its least node.
-        sizes = state.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.bool_and("near").alias("linked")).where("n > 1 and not linked").drop("linked").withColumn("size", F.col("n"))
-        rows = materialize(join_counted(state.drop("near"), "path", sizes, state.count()), "paths")
+        # A path goes on from one bucket, so nodes that have one root there are linked already, through it.
+        sizes = state.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.min("root").alias("one"), F.max("root").alias("other")).where("n > 1 and one <> other").drop("one", "other").withColumn("size", F.col("n"))
+        rows = materialize(join_counted(state, "path", sizes, state.count()), "paths")
         small = rows.where(F.col("size") <= BUCKET).select("path", "node")
         met = small.join(few, "node").repartition("path").sortWithinPartitions("path")
         found.append(materialize(met.mapInArrow(_brute, "a long, b long"), "links"))
-        large = rows.where(F.col("size") > BUCKET).select("path", "node", "pivot", "size")
+        large = rows.where(F.col("size") > BUCKET).select("path", "node", "root", "pivot", "size")
         if large.isEmpty():
             drop_table(rows)
             break
-        own, columns = nodes.select("node", "sketch"), "path long, node long, pivot long, near boolean, paths array<long>"
+        own = nodes.select("node", "sketch")
         compared = large.where(F.col("size") > GATHERED).drop("size").join(own, "node").join(own.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
-        held = large.where(F.col("size") <= GATHERED).drop("size").join(own, "node").repartition("path").sortWithinPartitions("path")
-        after = held.mapInArrow(_gathered, columns)
+        held = large.where(F.col("size") <= GATHERED).drop("size", "pivot").join(own, "node").repartition("path").sortWithinPartitions("path")
+        after = held.mapInArrow(_gathered, _SPLIT)
         if not large.where(F.col("size") > GATHERED).isEmpty():
-            after = after.unionAll(arrow_pass(compared, _large, columns, rows=1024))
+            after = after.unionAll(arrow_pass(compared, _large, _SPLIT, rows=1024))
         after = materialize(after, "large")
-        found.append(after.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        found.append(after.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        after = after.where("open")
         if level == LEVELS:
             found.append(materialize(_blocks(after, few), "links"))
-        state = after.select("node", "near", F.explode("paths").alias("path"))
+        state = after.select("node", "root", F.explode("paths").alias("path"))
         drop_table(rows)
     out = found[0]
     for f in found[1:]:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import jaccard_join as jj
@@ -150,3 +151,55 @@ def test_possible_keeps_every_candidate():
     kept = jj.possible(e)
     assert set(np.flatnonzero(near.any(1)).tolist()) <= set(kept.tolist()) and len(kept) < 20
     assert len(jj.possible(e[:0])) == 0
+
+
+def test_near_copies_beside_texts_of_their_passage_go_no_further(spark, tmp_path, monkeypatch):
+    """Texts that are mostly one passage, the least of them unlike the rest, and a chain of near copies of one that
+    a single text is not near to: all are linked in the buckets they meet in first, so no row is made of deeper ones,
+    and twice the group makes no more than twice the rows."""
+    rows_made, real = [], jj.materialize
+
+    def counted(df, name, *a, **k):
+        out = real(df, name, *a, **k)
+        if name == "paths":
+            rows_made[-1].append(out.count())
+        return out
+
+    monkeypatch.setattr(jj, "materialize", counted)
+    for n in (100, 200):
+        r = random.Random(11)
+        passage = [f"p{k}" for k in range(160)]
+        rows = [(i, " ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(55)])) for i in range(100)]
+        own = passage + [f"c{k}" for k in range(60)]
+        for i in range(n):
+            own = own[:160] + own[160 + (i % 5 == 0) :] + [f"n{i}"] * (i % 5 == 0)
+            rows.append((1000 + i, " ".join([*own, f"end{i}"])))
+        path = str(tmp_path / f"g{n}")
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+        rows_made.append([])
+        got = jj.join(spark.read.parquet(path)).collect()
+        assert sorted((x.doc_id, x.class_id, x.n_links) for x in got) == truth(rows)[0]
+    assert all(sum(made[1:]) == 0 for made in rows_made) and rows_made[1][0] <= 2 * rows_made[0][0]
+
+
+@pytest.mark.parametrize("few,pivots", [(512, 16), (3, 2), (0, 1)])
+def test_gathered_buckets_lose_no_candidate(monkeypatch, few, pivots):
+    """Each pair near enough is linked in its bucket, or both go on to the next splits."""
+    monkeypatch.setattr(jj, "FEW", few)
+    monkeypatch.setattr(jj, "PIVOTS", pivots)
+    r = np.random.default_rng(12)
+    e = r.integers(0, 1 << 32, (150, jj.TOKENS), dtype=np.uint32)
+    e[:, :82] = e[0, :82]  # a passage, too short to make near what shares no more
+    for k in range(60, 140):
+        e[k] = np.where(r.random(jj.TOKENS) < 0.1, e[k], e[r.integers(k // 10 * 10, k) if k % 10 else k])
+    nodes = r.permutation(150) * 7
+    batch = pa.record_batch([pa.array([5] * 150, pa.int64()), pa.array(nodes, pa.int64()), pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in e], pa.binary())], names=["path", "node", "root", "sketch"])
+    out = pa.Table.from_batches(list(jj._gathered(iter([batch])))).to_pylist()
+    root, goes = {int(x): int(x) for x in nodes} | {x["node"]: x["root"] for x in out}, {x["node"] for x in out if x["open"]}
+    near = (e[:, None, :] == e[None, :, :]).mean(2) >= jj.CANDIDATE
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        assert root[nodes[i]] == root[nodes[j]] or {nodes[i], nodes[j]} <= goes
+    assert (few == 512) == (not goes) and all(not x["paths"] for x in out if not x["open"])
+    assert all(len(x["paths"]) == len(jj.chosen(np.array([5], np.uint64), e[list(nodes).index(x["node"])][None])[0]) for x in out if x["open"])
+    close = {x["root"] for x in out if x["open"] and x["near"]}
+    assert len(close) <= 1
