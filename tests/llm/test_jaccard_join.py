@@ -203,3 +203,15 @@ def test_gathered_buckets_lose_no_candidate(monkeypatch, few, pivots):
     assert all(len(x["paths"]) == len(jj.chosen(np.array([5], np.uint64), e[list(nodes).index(x["node"])][None])[0]) for x in out if x["open"])
     close = {x["root"] for x in out if x["open"] and x["near"]}
     assert len(close) <= 1
+
+
+def test_buckets_that_no_task_holds(spark, tmp_path, monkeypatch):
+    """Buckets over GATHERED are compared with their least node and split whole, also into held ones."""
+    monkeypatch.setattr(jj, "GATHERED", 70)
+    r = random.Random(13)
+    passage = [f"p{k}" for k in range(160)]
+    rows = [(i, " ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(55)])) for i in range(60)]
+    rows += [(100 + k, rows[7 + k % 2][1] + f" end{k}") for k in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "b"))
+    got = jj.join(spark.read.parquet(str(tmp_path / "b"))).collect()
+    assert sorted((x.doc_id, x.class_id, x.n_links) for x in got) == truth(rows)[0]
